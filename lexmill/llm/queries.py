@@ -6,14 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, simhash, substring
+from . import decontam, langid, line_dedup, mixing, quality, sharding, simhash, substring, token_counts, warc
 from .shared import table
 
+#: The vocabulary that op10 counts with.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_common_lines(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match", "spans")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_report(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -22,10 +49,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated_passages(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
+    content = spark.read.format("binaryFile").load(ranks).select("content").first()[0]
+    return token_counts.recount(table(spark, sf_dir, "documents"), bytes(content))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_decontamination": op4_decontamination,
+    "op5_language_id": op5_language_id,
+    "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {
@@ -45,6 +84,48 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op4_decontamination": r"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+        ), items AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+        ), wanted AS (
+            SELECT DISTINCT item_id, n, array_to_string(words[i:i + n - 1], ' ') AS w
+            FROM (SELECT item_id, words, least(len(words), 10) AS n, unnest(generate_series(1, len(words) - least(len(words), 10) + 1)) AS i
+                  FROM items WHERE len(words) > 0)
+        ), sizes AS (
+            SELECT DISTINCT n FROM wanted
+        ), windows AS (
+            SELECT doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS w
+            FROM (SELECT doc_id, n, words, unnest(generate_series(1, len(words) - n + 1)) AS i FROM docs, sizes)
+        ), found AS (
+            SELECT doc_id, i, n, item_id FROM windows JOIN wanted USING (n, w)
+        ), hits AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT doc_id, i, unnest(generate_series(0, n - 1)) AS k FROM found) GROUP BY doc_id
+        ), leaks AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(d.words) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(l.n_items, 0) AS n_items,
+               sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+        FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN leaks l ON d.doc_id = l.doc_id
+    """,
+    "op7_warc": r"""
+        WITH payloads AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+        ), digits AS (
+            SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))) & 31), 1), '' ORDER BY i) AS digest
+            FROM (SELECT DISTINCT h FROM payloads), (SELECT unnest(generate_series(0, 31)) AS i) GROUP BY h
+        ), firsts AS (
+            SELECT h, min(page_id) AS first FROM payloads GROUP BY h
+        )
+        SELECT p.page_id, p.payload_bytes, d.digest AS payload_digest,
+               CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
+        FROM payloads p JOIN digits d USING (h) JOIN firsts f USING (h)
+    """,
     "op9_substring_dedup": r"""
         WITH docs AS (
             SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents

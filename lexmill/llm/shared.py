@@ -39,6 +39,12 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def words_of(text: Column) -> Column:
+    """The runs of characters that are not blank."""
+    bare = F.btrim(text, F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+", -1))
+
+
 def counted_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread: list[str]) -> DataFrame:
     """Left join that no hot key can skew.
 
