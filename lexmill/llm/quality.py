@@ -186,4 +186,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    return judge(docs).where("kept").select("__doc.*")
+    # A filter on a column that is not deterministic is not pushed down, which would copy the steps above into it again and again.
+    held = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return judge(docs).withColumn("kept", held).where("kept").select("__doc.*")
