@@ -1,0 +1 @@
+"""Corpus text analytics as Spark DataFrame plans."""

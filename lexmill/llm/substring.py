@@ -5,7 +5,7 @@ hashed cells, and the sketches are merged slice by slice.  A cell's count is an
 overestimate of the count of each window in it, so no repeated window is lost.
 Cells of two or more are folded into a bitmap of bounded size, which is
 broadcast.  Second pass: windows that the bitmap estimates to be repeated, and
-only those, are grouped exactly, by 128 hash bits.
+only those, are grouped exactly, by 96 hash bits.
 """
 
 from __future__ import annotations
@@ -43,12 +43,12 @@ def _windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def sketch_plan(text_bytes: int) -> tuple[int, int, int]:
     """Cell bits, slice bits and bitmap bits for a corpus of so many bytes of text.
 
-    About 32 cells a window keep estimates sharp; beyond 2^40 cells, and for
+    About 64 cells a window keep estimates sharp; beyond 2^40 cells, and for
     bitmaps beyond their bound, more windows are estimated repeated than are.
     That costs shuffle in the second pass, never a result.
     """
     windows = max(1, text_bytes // 6)
-    cells = min(MAX_CELL_BITS, max(MIN_CELL_BITS, windows.bit_length() + 5))
+    cells = min(MAX_CELL_BITS, max(MIN_CELL_BITS, windows.bit_length() + 6))
     return cells, max(4, min(20, (windows // SLICE_WINDOWS).bit_length())), min(MAX_BITMAP_BITS, max(20, windows.bit_length() + 1))
 
 
@@ -105,39 +105,59 @@ def repeated_cells(docs: DataFrame, n: int, cell_bits: int, slice_bits: int) ->
     return sketches.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "cells array<bigint>")
 
 
-def fold(cells: DataFrame, cell_bits: int, bitmap_bits: int) -> np.ndarray:
-    """A bitmap with a bit set for each group of neighbouring cells that has a repeated one."""
-    shift, chunk_bits = np.int64(max(0, cell_bits - bitmap_bits)), min(bitmap_bits, 20)
+def _probes(cells: np.ndarray, bitmap_bits: int) -> Iterator[np.ndarray]:
+    """The two bits of the bitmap that stand for each cell."""
+    for multiplier in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F):
+        x = cells * np.uint64(multiplier)
+        yield ((x ^ (x >> np.uint64(31))) * np.uint64(0xE7037ED1A0B428DB) >> np.uint64(64 - bitmap_bits)).astype(np.int64)
+
+
+def fold(cells: DataFrame, bitmap_bits: int) -> np.ndarray:
+    """A bitmap with the bits of all cells in ``cells`` set."""
+    chunk_bits = min(bitmap_bits, 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            bits = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False) >> shift)
-            chunk = bits >> np.int64(chunk_bits)
-            for c in np.unique(chunk).tolist():
-                plane = planes.setdefault(c, np.zeros(1 << chunk_bits, bool))
-                plane[bits[chunk == c] & ((1 << chunk_bits) - 1)] = True
+            for bits in _probes(batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.uint64), bitmap_bits):
+                bits = np.unique(bits)
+                cuts = np.searchsorted(bits >> chunk_bits, np.arange((1 << bitmap_bits - chunk_bits) + 1))
+                for c in np.flatnonzero(np.diff(cuts)).tolist():
+                    plane = planes.setdefault(c, np.zeros((1 << chunk_bits) // 8, np.uint8))
+                    own = bits[cuts[c] : cuts[c + 1]] & (1 << chunk_bits) - 1
+                    np.bitwise_or.at(plane, own >> 3, (1 << (own & 7)).astype(np.uint8))
         for c, plane in planes.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(plane, bitorder="little").tobytes()], pa.binary())], ["chunk", "plane"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([plane.tobytes()], pa.binary())], ["chunk", "plane"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, plane in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(plane.as_buffer(), np.uint8)
+                planes[c] = planes[c] | own if c in planes else own.copy()
+        for c, plane in planes.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([plane.tobytes()], pa.binary())], ["chunk", "plane"])
 
-    out = np.zeros(1 << max(0, bitmap_bits - 3), np.uint8)
     size = (1 << chunk_bits) // 8
-    for row in cells.mapInArrow(run, "chunk int, plane binary").toLocalIterator():
-        out[row.chunk * size : (row.chunk + 1) * size] |= np.frombuffer(row.plane, np.uint8)
+    out = np.zeros(size << bitmap_bits - chunk_bits, np.uint8)
+    kind = "chunk int, plane binary"
+    for row in cells.mapInArrow(run, kind).repartition("chunk").mapInArrow(join, kind).toLocalIterator():
+        out[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(row.plane, np.uint8)
     return out
 
 
-def _candidates(docs: DataFrame, n: int, bitmap, bitmap_bits: int) -> DataFrame:
+def _candidates(docs: DataFrame, n: int, bitmap, cell_bits: int, bitmap_bits: int) -> DataFrame:
     """Rows for windows that are estimated repeated.
 
     Within a batch, a window that a smaller doc_id of the same batch has too is
-    already known to go: such windows leave as spans of one row a text
-    (kind 1).  Of the others one row a window and batch leaves (kind 0), with
-    all places in its text, so that no window, however common, has more rows
-    than there are batches.
+    already known to go: such windows leave as spans of one row a text, with
+    place -1.  Of the others one row a window and batch leaves, with its first
+    place in the text, and any others in ``more``, so that no window, however
+    common, has more rows than there are batches.  ``h2at`` packs 32 further
+    hash bits and the place.  Rows leave in the order of the texts, so that the
+    shuffle's codec sees equal ids together.
     """
-    fields = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("kind", pa.int8()), ("id", pa.int64()), ("mark", pa.int64()), ("at", pa.int32()), ("more", pa.binary())])
-    shift = np.uint64(64 - bitmap_bits)
+    fields = pa.schema([("h1", pa.int64()), ("h2at", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("more", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
@@ -147,14 +167,17 @@ def _candidates(docs: DataFrame, n: int, bitmap, bitmap_bits: int) -> DataFrame:
             for low, high in pieces(batch.column(2)):
                 words = scan(batch.column(2).slice(low, high - low), NOT_SPACE, False)
                 starts, h1, h2 = _windows(words, n)
-                cell = (h1 >> shift).astype(np.int64)
-                hit = np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+                hit = np.arange(len(h1))
+                for probe in _probes(h1 >> np.uint64(64 - cell_bits), bitmap_bits):
+                    own = probe[hit]
+                    hit = hit[(bits[own >> 3] >> (own & 7).astype(np.uint8) & 1).astype(bool)]
                 if len(hit):
                     row = np.searchsorted(words.offsets, starts[hit], "right") - 1
                     found.append((h1[hit].view(np.int64), h2[hit].view(np.int64), row + low, starts[hit] - words.offsets[row]))
             if not found:
                 continue
             h1, h2, row, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            h2 >>= 32
             order = np.lexsort((at, row, ids_all[row], h2, h1))
             h1, h2, row, at = h1[order], h2[order], row[order], at[order]
             ids = ids_all[row]
@@ -178,12 +201,13 @@ def _candidates(docs: DataFrame, n: int, bitmap, bitmap_bits: int) -> DataFrame:
             for i in np.flatnonzero(size > 1):
                 more[i] = places[head_at[i] + 1 : head_at[i] + size[i]].tobytes()
             k = keep[head_at]
+            by_text = np.lexsort((at[k], row[k]))
+            k, more = k[by_text], more[by_text]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1[k]), pa.array(h2[k]), pa.array(np.zeros(len(k), np.int8)), pa.array(ids[k]), pa.array(marks_all[row[k]]), pa.array(places[head_at]), pa.array(more, pa.binary())],
-                schema=fields,
+                [pa.array(h1[k]), pa.array(h2[k] << 32 | at[k]), pa.array(ids[k]), pa.array(marks_all[row[k]]), pa.array(more, pa.binary())], schema=fields
             )
 
-    return docs.mapInArrow(run, "h1 long, h2 long, kind tinyint, id long, mark long, at int, more binary")
+    return docs.mapInArrow(run, "h1 long, h2at long, id long, mark long, more binary")
 
 
 def _known(row: np.ndarray, at: np.ndarray, ids: np.ndarray, marks: np.ndarray, fields: pa.Schema) -> pa.RecordBatch:
@@ -197,20 +221,16 @@ def _known(row: np.ndarray, at: np.ndarray, ids: np.ndarray, marks: np.ndarray,
     own, blobs = owner[cuts], [x.tobytes() for x in np.split(runs, cuts[1:])]
     # Their keys only spread them; the grouping ignores rows of this kind.
     key = (ids[own] * 2654435761 + own).astype(np.int64)
-    zero = np.zeros(len(own), np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(key ^ marks[own]), pa.array(np.ones(len(own), np.int8)), pa.array(ids[own]), pa.array(marks[own]), pa.array(zero), pa.array(blobs, pa.binary())], schema=fields)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(own), 0xFFFFFFFF)), pa.array(ids[own]), pa.array(marks[own]), pa.array(blobs, pa.binary())], schema=fields)
 
 
-def _starts(kinds: list[int], ats: list[int], mores: list[bytes | None]) -> np.ndarray:
-    """Window starts from the rows of one text."""
-    out = [np.array([a for k, a in zip(kinds, ats, strict=True) if k == 0], np.int64)]
-    for kind, more in zip(kinds, mores, strict=True):
-        if kind == 0 and more:
-            out.append(np.frombuffer(more, np.int32).astype(np.int64))
-        elif kind == 1:
-            runs = np.frombuffer(more, np.int32).reshape(-1, 2).astype(np.int64)
-            out.append(np.repeat(runs[:, 0] - np.cumsum(runs[:, 1]) + runs[:, 1], runs[:, 1]) + np.arange(runs[:, 1].sum()))
-    return np.unique(np.concatenate(out))
+def _starts(places: np.ndarray, more: list[bytes], runs: list[bytes]) -> np.ndarray:
+    """Window starts of one text: single ones, further ones, and runs of (first, number)."""
+    out = [places, *(np.frombuffer(x, np.int32) for x in more)]
+    for x in runs:
+        first, number = np.frombuffer(x, np.int32).reshape(-1, 2).astype(np.int64).T
+        out.append(np.repeat(first - np.cumsum(number) + number, number) + np.arange(number.sum()))
+    return np.unique(np.concatenate([x.astype(np.int64) for x in out]))
 
 
 def remove_repeated_passages(docs: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -221,7 +241,7 @@ def remove_repeated_passages(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     other columns are ignored.  Null, empty and blank texts have no words and
     keep an empty text; texts of fewer than n words keep all of them.  A null
     doc_id counts as larger than any other.  Rows of the same doc_id don't
-    remove each other's words.  Window equality is that of 128 hash bits.
+    remove each other's words.  Window equality is that of 96 hash bits.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -231,12 +251,18 @@ def remove_repeated_passages(docs: DataFrame, n: int = WINDOW) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     cell_bits, slice_bits, bitmap_bits = sketch_plan(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    bitmap = spark.sparkContext.broadcast(fold(repeated_cells(rows, n, cell_bits, slice_bits), cell_bits, bitmap_bits))
-    cands = _candidates(rows.select("id", "mark", "text"), n, bitmap, bitmap_bits)
-    first = F.min(F.when(F.col("kind") == 0, F.col("id"))).over(Window.partitionBy("h1", "h2"))
-    gone = cands.withColumn("first", first).where("kind = 1 or first < id")
-    per_text = gone.groupBy("id", "mark").agg(F.collect_list(F.struct("kind", "at", "more")).alias("gone"))
-    joined = rows.join(per_text, ["id", "mark"], "left").select("doc_id", "text", "gone.kind", "gone.at", "gone.more")
+    bitmap = spark.sparkContext.broadcast(fold(repeated_cells(rows, n, cell_bits, slice_bits), bitmap_bits))
+    cands = _candidates(rows.select("id", "mark", "text"), n, bitmap, cell_bits, bitmap_bits)
+    cands = cands.withColumn("h2", F.shiftright("h2at", 32)).withColumn("at", F.col("h2at").bitwiseAND(0xFFFFFFFF))
+    known = F.col("at") == 0xFFFFFFFF
+    first = F.min(F.when(~known, F.col("id"))).over(Window.partitionBy("h1", "h2"))
+    gone = cands.withColumn("first", first).where(known | (F.col("first") < F.col("id")))
+    per_text = gone.groupBy("id", "mark").agg(
+        F.collect_list(F.when(~known, F.col("at").cast("int"))).alias("places"),
+        F.collect_list(F.when(~known, F.col("more"))).alias("more"),
+        F.collect_list(F.when(known, F.col("more"))).alias("runs"),
+    )
+    joined = rows.join(per_text, ["id", "mark"], "left").select("doc_id", "text", "places", "more", "runs")
     fields = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,11 +272,11 @@ def remove_repeated_passages(docs: DataFrame, n: int = WINDOW) -> DataFrame:
                 data, offsets = utf8(batch.column(1))
                 at = offsets.tolist()
                 texts, sizes, removed = [], [], []
-                for i, kinds in enumerate(batch.column(2)):
+                for i, places in enumerate(batch.column(2)):
                     words = data[at[i] : at[i + 1]].tobytes().split()
                     sizes.append(len(words))
-                    if kinds.is_valid:
-                        starts = _starts(kinds.as_py(), batch.column(3)[i].as_py(), batch.column(4)[i].as_py())
+                    if places.is_valid:
+                        starts = _starts(places.values.to_numpy(zero_copy_only=False), batch.column(3)[i].as_py(), batch.column(4)[i].as_py())
                         stay = np.flatnonzero(~covered(starts, n, len(words))).tolist()
                         words = [words[j] for j in stay]
                     removed.append(sizes[-1] - len(words))
