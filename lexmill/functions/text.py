@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters and numerics that are no decimal digits.
 TOKEN = r"[\p{L}\p{Nl}\p{No}]+"
@@ -55,7 +56,7 @@ def normalize_whitespace(text: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # an object, as a string needs a session when this is imported
 def _fold_exactly(text: pd.Series, lower: pd.Series, strip: pd.Series) -> pd.Series:
     def one(t: str, low: bool, bare: bool) -> str:
         t = unicodedata.normalize("NFC", t or "")
@@ -98,9 +99,12 @@ def passages(text: Column) -> Column:
 
 def trigrams(text: Column, profile: Profile = Profile()) -> Column:
     """Three-character grams of the one-line text, without blank ones."""
-    t = apply_profile(text, profile, one_line=True)
-    grams = F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))
-    return F.when(F.length(t) >= 3, F.filter(grams, lambda g: F.trim(g) != "")).otherwise(F.array().cast("array<string>"))
+    # Arrays side by side, as a lambda would make the text anew for each of its characters.
+    chars = F.split(apply_profile(text, profile, one_line=True), "", -1)
+    size = F.greatest(F.size(chars), F.lit(1))
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), size), lambda a, b: F.concat(a, b))
+    grams = F.zip_with(pairs, F.slice(chars, F.lit(3), size), lambda a, b: F.concat(a, b))
+    return F.filter(grams, lambda g: g.isNotNull() & (F.trim(g) != ""))
 
 
 def is_content(term: Column, stop_words: tuple[str, ...]) -> Column:
