@@ -61,6 +61,14 @@ def _repeated_words(n: int = WINDOW) -> list:
     ]
 
 
+def _word_chars() -> Column:
+    """Code points of ``text`` in words: all but the blanks, which plain replacement takes out faster than splitting does."""
+    bare = F.col("text")
+    for blank in BLANKS:
+        bare = F.replace(bare, F.lit(blank), F.lit(""))
+    return F.length(bare).cast("long")
+
+
 def _special() -> Column:
     """What is left of ``text`` without a-z, blanks and characters beyond ASCII: a short text to count classes in."""
     return F.regexp_replace("text", "[a-z\\x20\\x09-\\x0D\\x{80}-\\x{10FFFF}]+", "")
@@ -104,7 +112,7 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> Da
     Every document counts.  Of equally frequent words the first by code point is taken.
     """
     base = _base(docs)
-    chars = base.select("lang", "text", F.length(F.array_join("words", "")).cast("long").alias("word_chars"))
+    chars = base.select("lang", "text", _word_chars().alias("word_chars"))
     chars = chars.withColumn("special", _special()).withColumn("n_chars", F.length("text").cast("long"))
     names = [f"c{i}" for i in range(len(CLASSES) + 3)]
     counts = chars.select("lang", *[c.cast("long").alias(x) for c, x in zip(_class_counts(), names, strict=True)])
@@ -147,7 +155,7 @@ def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumns(
         {
             "n_words": F.size("words").cast("long"),
-            "word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "word_chars": _word_chars(),
             "special": _special(),
             "lines": F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != ""),
         }
