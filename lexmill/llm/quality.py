@@ -26,6 +26,8 @@ MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_COMMON = 200, 50
 #: Character classes within ``special``, as Java patterns; blanks, bytes beyond the first of a character, and the rest are three more.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": "[#*$%&|<>]", "mark": "[.,;:!?'\"()-]"}
 _POOLED = "\x00"
+#: Buckets by hash that a language's common words are looked up in; most hold none or one.
+BUCKETS = 256
 
 
 def _repeated_words(n: int = WINDOW) -> list:
@@ -38,40 +40,39 @@ def _repeated_words(n: int = WINDOW) -> list:
     word = lambda i: F.get(F.col("words"), i)
 
     def same(x: Column, y: Column) -> Column:
-        equal = x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(F.col("low_mask"))) == 0
+        equal = x.bitwiseXOR(y).bitwiseAND(F.col("high_mask")) == 0
         for k in range(n):
             equal = equal & (word(place(x).cast("int") + k) == word(place(y).cast("int") + k))
-        return F.coalesce(equal, F.lit(False))
+        return equal  # null beyond the ends, which filters drop
 
     count = F.size("words") - (n - 1)
-    packed = F.transform(
-        F.sequence(F.lit(0), count - F.lit(1)),
-        lambda i: F.xxhash64(*[word(i + k) for k in range(n)]).bitwiseAND(F.bitwise_not(F.col("low_mask"))).bitwiseOR(i.cast("long")),
-    )
+    windows = F.arrays_zip(*[F.slice("words", k + 1, F.greatest(count, F.lit(0))) for k in range(n)])
+    packed = F.transform(windows, lambda w, i: F.xxhash64(w).bitwiseAND(F.col("high_mask")).bitwiseOR(i.cast("long")))
     near = lambda j: F.get(F.col("packed"), j)
-    repeated = F.filter("packed", lambda x, j: same(x, near(j - 1)) | same(x, near(j + 1)))
+    # Most windows are unlike the next one; the others' successors are looked for only where there are any.
+    before = F.filter("packed", lambda x, j: same(x, near(j + 1)))
+    after = F.when(F.size("before") > 0, F.filter("packed", lambda x, j: same(x, near(j - 1)))).otherwise(F.col("before"))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     add = lambda a, p: F.struct((p + n).alias("end"), (a["n"] + n - F.greatest(F.lit(0).cast("long"), a["end"] - p)).alias("n"))
     return [
         # 2^k - 1 for the least k with 2^k > number of words: the places' bits.
         ("low_mask", F.expr(f"shiftleft(1L, length(bin(size(words) + {n}))) - 1L")),
+        ("high_mask", F.bitwise_not("low_mask")),
         ("packed", F.when(count > 0, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>"))),
-        ("repeated", repeated),
+        ("before", before),
+        ("repeated", F.array_union("before", after)),
         ("n_repeat_words", F.aggregate(F.sort_array(F.transform("repeated", place)), start, add)["n"]),
     ]
 
 
 def _word_chars() -> Column:
-    """Code points of ``text`` in words: all but the blanks, which plain replacement takes out faster than splitting does."""
-    bare = F.col("text")
-    for blank in BLANKS:
-        bare = F.replace(bare, F.lit(blank), F.lit(""))
-    return F.length(bare).cast("long")
+    """Code points of ``words``."""
+    return F.length(F.array_join("words", "")).cast("long")
 
 
-def _special() -> Column:
-    """What is left of ``text`` without a-z, blanks and characters beyond ASCII: a short text to count classes in."""
-    return F.regexp_replace("text", "[a-z\\x20\\x09-\\x0D\\x{80}-\\x{10FFFF}]+", "")
+def _special(text: str = "text") -> Column:
+    """What is left of a text without a-z, blanks and characters beyond ASCII: a short text to count classes in."""
+    return F.regexp_replace(text, "[a-z\\x20\\x09-\\x0D\\x{80}-\\x{10FFFF}]+", "")
 
 
 def _class_counts() -> list[Column]:
@@ -84,6 +85,10 @@ def _class_counts() -> list[Column]:
     return [*own, blank, F.octet_length("text") - F.col("n_chars"), rest]
 
 
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
+
+
 def _distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance, to base 2, of two arrays of shares."""
     half = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
@@ -107,23 +112,28 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> DataFrame:
-    """(lang, common, longest, word_shares, class_shares), a row for each frequent language and one pooled over all documents.
+    """(lang, common, word_shares, class_shares), a row for each frequent language and one pooled over all documents.
 
     Every document counts.  Of equally frequent words the first by code point is taken.
     """
     base = _base(docs)
-    chars = base.select("lang", "text", _word_chars().alias("word_chars"))
-    chars = chars.withColumn("special", _special()).withColumn("n_chars", F.length("text").cast("long"))
+    words = base.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = materialise(words, "words")
+    # Classes are counted once for each distinct word, times its number; blanks are all other characters.
     names = [f"c{i}" for i in range(len(CLASSES) + 3)]
-    counts = chars.select("lang", *[c.cast("long").alias(x) for c, x in zip(_class_counts(), names, strict=True)])
-    counts = materialise(counts.groupBy("lang").agg(*[F.sum(x).alias(x) for x in names], F.count("*").alias("docs")), "classes")
+    size = F.length("word").cast("long")
+    parts = words.select("lang", "n", F.col("word").alias("text"), _special("word").alias("special"), size.alias("n_chars"), size.alias("word_chars"))
+    parts = parts.select("lang", *[(F.col("n") * c).alias(x) for c, x in zip(_class_counts(), names, strict=True)], (F.col("n") * F.col("n_chars")).alias("word_chars"))
+    parts = parts.groupBy("lang").agg(*[F.sum(x).alias(x) for x in [*names, "word_chars"]])
+    counts = base.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("n_chars"), F.count("*").alias("docs"))
+    blank = names[len(CLASSES)]
+    counts = counts.join(parts, "lang", "left").withColumn(blank, F.col("n_chars") - F.coalesce("word_chars", F.lit(0)))
+    counts = materialise(counts.select("lang", *[F.coalesce(x, F.lit(0)).alias(x) for x in names], "docs"), "classes")
     kept = counts.where(F.col("lang") != _POOLED).orderBy(F.desc("docs"), "lang").limit(LANGUAGES)
     pooled = counts.agg(*[F.sum(x).alias(x) for x in names]).select(F.lit(_POOLED).alias("lang"), *names)
     classes = kept.select("lang", *names).unionByName(pooled)
     classes = classes.withColumn("total", sum((F.col(x) for x in names), F.lit(0))).select("lang", _shares(F.array(*names), F.col("total")).alias("class_shares"))
 
-    words = base.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    words = materialise(words, "words")
     by_lang = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = words.where(F.col("lang") != _POOLED).withColumn("rank", F.row_number().over(by_lang)).where(F.col("rank") <= common_words).drop("rank")
     all_words = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(common_words)
@@ -135,7 +145,6 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> Da
     return classes.join(listed, "lang", "left").select(
         "lang",
         F.coalesce("common", F.array().cast("array<string>")).alias("common"),
-        F.coalesce(F.array_max(F.transform("common", F.octet_length)), F.lit(0)).alias("longest"),
         F.coalesce("word_shares", F.array().cast("array<double>")).alias("word_shares"),
         "class_shares",
     )
@@ -147,11 +156,13 @@ def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
     Needs doc_id, text and lang.  Null texts are empty.  A null or rare
     language uses the histograms pooled over all documents.
     """
-    refs = materialise(references if references is not None else language_references(docs), "references")
-    known = F.broadcast(refs.where(F.col("lang") != _POOLED).select("lang", F.struct("common", "longest", "word_shares", "class_shares").alias("__own")))
-    pooled = F.broadcast(refs.where(F.col("lang") == _POOLED).select(F.struct("common", "longest", "word_shares", "class_shares").alias("__pooled"), F.lit(1).alias("__one")))
+    refs = references if references is not None else language_references(docs)
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.filter("common", lambda w: _bucket(w) == b))
+    refs = materialise(refs.select("lang", F.struct("common", buckets.alias("buckets"), "word_shares", "class_shares").alias("ref")), "references")
+    known = F.broadcast(refs.where(F.col("lang") != _POOLED).select("lang", F.col("ref").alias("__own")))
+    pooled = F.broadcast(refs.where(F.col("lang") == _POOLED).select(F.col("ref").alias("__pooled"), F.lit(1).alias("__one")))
     rows = _base(docs).withColumn("__one", F.lit(1)).join(known, "lang", "left").join(pooled, "__one", "left")
-    rows = rows.withColumn("ref", F.coalesce("__own", "__pooled")).drop("__own", "__pooled", "__one")
+    rows = rows.withColumn("ref", F.coalesce("__own", "__pooled")).drop("__own", "__pooled", "__one").withColumn("buckets", F.col("ref.buckets"))
     rows = rows.withColumns(
         {
             "n_words": F.size("words").cast("long"),
@@ -164,12 +175,12 @@ def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("n_symbols", F.regexp_count("special", F.lit(CLASSES["symbol"])).cast("long"))
     for name, column in _repeated_words():
         rows = rows.withColumn(name, column)
-    rows = rows.drop("low_mask", "packed", "repeated")
+    rows = rows.drop("low_mask", "high_mask", "packed", "before", "repeated")
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("classes", F.array(*[c.cast("long") for c in _class_counts()]))
     rows = rows.withColumn("class_shares", _shares(F.col("classes"), F.col("n_chars")))
     rows = rows.withColumn("class_distance", _distance(F.col("class_shares"), F.col("ref.class_shares"))).drop("special", "classes", "class_shares")
-    rows = rows.withColumn("common", F.filter("words", lambda w: (F.octet_length(w) <= F.col("ref.longest")) & F.array_contains(F.col("ref.common"), w)))
-    rows = rows.drop("words")
+    rows = rows.withColumn("common", F.filter("words", lambda w: F.array_contains(F.get("buckets", _bucket(w)), w)))
+    rows = rows.drop("words", "buckets")
     found = F.transform("ref.common", lambda r: (F.size("common") - F.size(F.array_remove("common", r))).cast("long"))
     rows = rows.withColumn("own", found)
     rest = F.col("n_words") - F.size("common")
