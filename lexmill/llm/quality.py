@@ -177,7 +177,8 @@ def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
         rows = rows.withColumn(name, column)
     rows = rows.drop("low_mask", "high_mask", "packed", "before", "repeated")
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("classes", F.array(*[c.cast("long") for c in _class_counts()]))
-    rows = rows.withColumn("class_shares", _shares(F.col("classes"), F.col("n_chars")))
+    # All classes' sum: bytes beyond the first of a character are a class of their own.
+    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("class_shares", _shares(F.col("classes"), F.col("n_bytes")))
     rows = rows.withColumn("class_distance", _distance(F.col("class_shares"), F.col("ref.class_shares"))).drop("special", "classes", "class_shares")
     rows = rows.withColumn("common", F.filter("words", lambda w: F.array_contains(F.get("buckets", _bucket(w)), w)))
     rows = rows.drop("words", "buckets")
@@ -190,7 +191,7 @@ def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd_class = (F.col("n_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("class_distance") > MAX_CLASS_DISTANCE)
     odd_words = (F.col("n_words") >= MIN_WORDS_FOR_COMMON) & (F.col("word_distance") > MAX_WORD_DISTANCE)
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~(failed | odd_class | odd_words)).drop("ref", "text", "n_chars")
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~(failed | odd_class | odd_words)).drop("ref", "text", "n_chars", "n_bytes")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
