@@ -20,6 +20,9 @@ COMMON_WORDS = 24
 LANGUAGES = 256
 MAX_CLASS_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.45
+#: A text in a known language with none of its common words has a distance of its own, less than MAX_WORD_DISTANCE (0.35 where they hold 22 % of
+#: all words).  Texts of MIN_WORDS_FOR_ABSENCE words that come this near to it lack the language's words; of shorter ones, clean texts can too.
+MAX_ABSENCE, MIN_WORDS_FOR_ABSENCE = 0.9, 100
 #: Documents with fewer characters, or words, are not held against the histogram of classes, or words.
 MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_COMMON = 200, 50
 
@@ -158,7 +161,11 @@ def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """
     refs = references if references is not None else language_references(docs)
     buckets = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.filter("common", lambda w: _bucket(w) == b))
-    refs = materialise(refs.select("lang", F.struct("common", buckets.alias("buckets"), "word_shares", "class_shares").alias("ref")), "references")
+    # The distance of a text without any common word; null for the pooled histogram, whose words are no sign of a text's own language.
+    other = F.lit(1.0) - F.aggregate("word_shares", F.lit(0.0), lambda s, x: s + x)
+    none = F.concat(F.transform("word_shares", lambda x: F.lit(0.0)), F.array(F.lit(1.0)))
+    absent = F.when(F.col("lang") != _POOLED, _distance(none, F.concat("word_shares", F.array(other)))).alias("absent")
+    refs = materialise(refs.select("lang", F.struct("common", buckets.alias("buckets"), "word_shares", "class_shares", absent).alias("ref")), "references")
     known = F.broadcast(refs.where(F.col("lang") != _POOLED).select("lang", F.col("ref").alias("__own")))
     pooled = F.broadcast(refs.where(F.col("lang") == _POOLED).select(F.col("ref").alias("__pooled"), F.lit(1).alias("__one")))
     rows = _base(docs).withColumn("__one", F.lit(1)).join(known, "lang", "left").join(pooled, "__one", "left")
@@ -191,6 +198,8 @@ def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd_class = (F.col("n_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("class_distance") > MAX_CLASS_DISTANCE)
     odd_words = (F.col("n_words") >= MIN_WORDS_FOR_COMMON) & (F.col("word_distance") > MAX_WORD_DISTANCE)
+    lacking = (F.col("n_words") >= MIN_WORDS_FOR_ABSENCE) & (F.col("word_distance") > MAX_ABSENCE * F.col("ref.absent"))
+    odd_words = odd_words | F.coalesce(lacking, F.lit(False))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~(failed | odd_class | odd_words)).drop("ref", "text", "n_chars", "n_bytes")
 
 
