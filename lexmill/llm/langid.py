@@ -25,8 +25,10 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-#: The bound of the labelled sample: texts of each language, and languages, most frequent first.
-TEXTS_PER_LANGUAGE, LANGUAGES, WINDOWS_PER_TEXT = 400, 64, 6
+#: The bound of the labelled sample: texts of each language, and of all; every language keeps one text at least.
+TEXTS_PER_LANGUAGE, TEXTS, WINDOWS_PER_TEXT = 400, 25_600, 6
+#: Languages that STEPS steps are meant for; more take more steps.
+LANGUAGES_PER_RUN = 64
 STEPS, BATCH, RATE = 600, 128, 0.01
 UNKNOWN = "und"
 
@@ -76,7 +78,8 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     parameters = net.parameters()
     means, squares = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     by_label = [np.flatnonzero(labels == i) for i in range(k)]
-    for step in range(1, STEPS + 1):
+    steps = STEPS * -(-k // LANGUAGES_PER_RUN)
+    for step in range(1, steps + 1):
         label = rng.integers(0, k, BATCH)
         pick = np.array([by_label[i][rng.integers(len(by_label[i]))] for i in label])
         x = windows[pick]
@@ -109,7 +112,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
         for p, g, m, s in zip(parameters, gradients, means, squares, strict=True):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
-            p -= RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+            p -= RATE * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
     return net
 
 
@@ -155,14 +158,15 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """(lang, windows): for each of the most frequent languages some texts, least hash first, and WINDOWS_PER_TEXT hashed windows of each."""
+    """(lang, windows): for each language some texts, least hash first, and WINDOWS_PER_TEXT hashed windows of each."""
     labelled = docs.where(~held_out()).where("lang is not null and text is not null and length(text) > 0")
     labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    frequent = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    first = labelled.select("lang", "h").join(F.broadcast(frequent.select("lang")), "lang")
+    number = labelled.agg(F.count_distinct("lang")).first()[0]
+    most = min(TEXTS_PER_LANGUAGE, max(1, TEXTS // max(1, number)))
+    first = labelled.select("lang", "h")
     # The least hashes of a language, without ranking it in one task: partial top lists of each task.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    first = first.withColumn("rank", rank).where(F.col("rank") <= TEXTS_PER_LANGUAGE).groupBy("lang").agg(F.max("h").alias("last"))
+    first = first.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("lang").agg(F.max("h").alias("last"))
     chosen = labelled.join(F.broadcast(first), "lang").where("h <= last").select("lang", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +191,8 @@ def fit(docs: DataFrame) -> Network:
     langs = rows.column("lang").to_pylist()
     languages = sorted(set(langs)) or [UNKNOWN]
     windows = np.frombuffer(b"".join(rows.column("windows").to_pylist()), np.uint8).reshape(-1, WINDOW)
-    labels = np.repeat(np.array([languages.index(x) for x in langs], np.int64), WINDOWS_PER_TEXT)
+    place = {x: i for i, x in enumerate(languages)}
+    labels = np.repeat(np.array([place[x] for x in langs], np.int64), WINDOWS_PER_TEXT)
     return train(windows, labels, languages)
 
 

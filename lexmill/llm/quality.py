@@ -16,8 +16,6 @@ from .shared import BLANKS, materialise, words_of
 MIN_WORDS = 50
 WINDOW = 3
 COMMON_WORDS = 24
-#: Languages with histograms of their own, at most; others share the pooled one.  Bounds what is broadcast.
-LANGUAGES = 256
 MAX_CLASS_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.45
 #: A text in a known language with none of its common words has a distance of its own, less than MAX_WORD_DISTANCE (0.35 where they hold 22 % of
@@ -115,7 +113,7 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> DataFrame:
-    """(lang, common, word_shares, class_shares), a row for each frequent language and one pooled over all documents.
+    """(lang, common, word_shares, class_shares), a row for each language and one pooled over all documents.
 
     Every document counts.  Of equally frequent words the first by code point is taken.
     """
@@ -132,7 +130,7 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> Da
     blank = names[len(CLASSES)]
     counts = counts.join(parts, "lang", "left").withColumn(blank, F.col("n_chars") - F.coalesce("word_chars", F.lit(0)))
     counts = materialise(counts.select("lang", *[F.coalesce(x, F.lit(0)).alias(x) for x in names], "docs"), "classes")
-    kept = counts.where(F.col("lang") != _POOLED).orderBy(F.desc("docs"), "lang").limit(LANGUAGES)
+    kept = counts.where(F.col("lang") != _POOLED)
     pooled = counts.agg(*[F.sum(x).alias(x) for x in names]).select(F.lit(_POOLED).alias("lang"), *names)
     classes = kept.select("lang", *names).unionByName(pooled)
     classes = classes.withColumn("total", sum((F.col(x) for x in names), F.lit(0))).select("lang", _shares(F.array(*names), F.col("total")).alias("class_shares"))
@@ -156,7 +154,7 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> Da
 def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """All rows with ``__doc`` (their columns as a struct), the figures, distances and verdicts.
 
-    Needs doc_id, text and lang.  Null texts are empty.  A null or rare
+    Needs doc_id, text and lang.  Null texts are empty.  A null
     language uses the histograms pooled over all documents.
     """
     refs = references if references is not None else language_references(docs)
