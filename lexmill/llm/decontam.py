@@ -3,9 +3,11 @@
 Each shard of training texts becomes a sequence of word codes (words that no
 benchmark item has get code 0, which nothing matches) and a suffix array over
 it.  Every suffix of every item is binary-searched in every shard, which gives
-the longest verbatim match and all its places.  The benchmark is the query set:
-it is held in blocks of bounded size, and all blocks pass over a shard in one
-stage, so training text is never shuffled.
+all places of its window; from each of these places the text is searched in the
+items' own suffix array, as far as it goes, which gives the longest verbatim
+match.  The benchmark is the query set: it is cut into blocks of bounded size,
+of which a worker holds one at a time, and all blocks pass over a batch of texts
+in one stage, so training text is never shuffled.
 """
 
 from __future__ import annotations
@@ -54,10 +56,13 @@ class Coded:
 
 
 class SuffixArray:
-    """Suffixes of at least ``least`` coded words, sorted by their first ``depth`` words or more."""
+    """Suffixes of at least ``least`` coded words, sorted by their first ``depth`` words or more.
 
-    def __init__(self, text: Coded, least: int, depth: int):
-        self.text = text
+    Keys of the first ``kept`` words are kept beside the suffixes; those beyond are made when asked for.
+    """
+
+    def __init__(self, text: Coded, least: int, depth: int, kept: int):
+        self.text, self.depth = text, depth
         at = np.flatnonzero(text.run >= max(1, least))
         keys = text.keys(at, 0)
         order = np.argsort(keys, kind="stable")
@@ -66,18 +71,26 @@ class SuffixArray:
         new[1:] = self.levels[0][1:] != self.levels[0][:-1]
         for skip in range(text.per, depth, text.per):
             group = np.cumsum(new) - 1
-            keys = text.keys(self.at, skip)
             tied = np.flatnonzero(np.bincount(group, minlength=len(at))[group] > 1) if len(at) else at
-            order = tied[np.lexsort((keys[tied], group[tied]))]
-            self.at[tied], keys[tied] = self.at[order], keys[order]
-            self.levels.append(keys)
-            new[1:] |= keys[1:] != keys[:-1]
-
-    def _bound(self, keys: np.ndarray, low: np.ndarray, high: np.ndarray, target: np.ndarray, shift: np.ndarray, after: bool) -> np.ndarray:
+            if not len(tied) and skip >= kept:
+                break
+            keys = text.keys(self.at[tied], skip)
+            order = np.lexsort((keys, group[tied]))
+            self.at[tied], keys = self.at[tied][order], keys[order]
+            inner = np.flatnonzero(tied[1:] == tied[:-1] + 1)
+            new[tied[inner + 1]] |= keys[inner + 1] != keys[inner]
+            if skip < kept:
+                # Suffixes move among their equals alone, so that the levels before stay as they are.
+                self.levels.append(text.keys(self.at, skip))
+
+    def _keys(self, level: int, rank: np.ndarray) -> np.ndarray:
+        return self.levels[level][rank] if level < len(self.levels) else self.text.keys(self.at[rank], level * self.text.per)
+
+    def _bound(self, level: int, low: np.ndarray, high: np.ndarray, target: np.ndarray, shift: np.ndarray, after: bool) -> np.ndarray:
         low, high = low.copy(), high.copy()
         while len(live := np.flatnonzero(low < high)):
             mid = (low[live] + high[live]) >> 1
-            value = keys[mid] >> shift[live]
+            value = self._keys(level, mid) >> shift[live]
             right = value <= target[live] if after else value < target[live]
             low[live[right]] = mid[right] + 1
             high[live[~right]] = mid[~right]
@@ -87,8 +100,8 @@ class SuffixArray:
         """For suffixes of ``query`` cut to ``words`` words: the length of the longest match, and its range in the array."""
         matched = np.zeros(len(starts), np.int64)
         low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.at))
-        live, skip, per = np.arange(len(starts)), 0, query.per
-        for keys in self.levels:
+        live, per = np.arange(len(starts)), query.per
+        for skip in range(0, self.depth, per):
             own = query.keys(starts[live], skip)
             open_ = np.arange(len(live))
             for take in range(per, 0, -1):
@@ -96,13 +109,12 @@ class SuffixArray:
                 now = open_[want == take]
                 shift = np.full(len(now), query.bits * (per - take))
                 target, i = own[now] >> shift, live[now]
-                a = self._bound(keys, low[i], high[i], target, shift, False)
-                b = self._bound(keys, low[i], high[i], target, shift, True)
+                a = self._bound(skip // per, low[i], high[i], target, shift, False)
+                b = self._bound(skip // per, low[i], high[i], target, shift, True)
                 hit = a < b
                 low[i[hit]], high[i[hit]], matched[i[hit]] = a[hit], b[hit], skip + take
                 open_ = np.setdiff1d(open_, now[hit], assume_unique=True)
             live = live[(matched[live] == skip + per) & (words[live] > skip + per)]
-            skip += per
             if not len(live):
                 break
         return matched, low, high
@@ -121,9 +133,9 @@ class Items:
         number = np.where(words.counts > 0, words.counts - sizes + 1, 0)
         self.starts, self.item = _spans(words.offsets[:-1], number)
         self.sizes = sizes[self.item]
-        self.left = words.offsets[1:][self.item] - self.starts
         self.least = int(self.sizes.min()) if len(self.sizes) else 0
-        self.depth = int(self.left.max()) if len(self.left) else 0
+        self.most = int(self.sizes.max()) if len(self.sizes) else 0
+        self.array = SuffixArray(self.coded, self.least, int(words.counts.max()) if len(ids) else 0, self.coded.per)
 
     def search(self, texts: pa.Array) -> list[tuple[int, np.ndarray, list[str], int]]:
         """Per text: number of words, spans of hit words (first, end, first, ...), ids of items with windows in it, words of the longest match."""
@@ -134,7 +146,7 @@ class Items:
         hashes = word_hashes(words)
         code = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         text = Coded(np.where(self.vocabulary[code] == hashes, code + 1, 0), words.offsets, self.bits)
-        array = SuffixArray(text, self.least, self.depth)
+        array = SuffixArray(text, self.least, self.most, self.most)
         if not len(array.at):
             return out
         matched, low, high = array.longest(self.coded, self.starts, self.sizes)
@@ -142,14 +154,14 @@ class Items:
         if not len(found):
             return out
         # Windows with the same places are one class.
-        classes, first, which = np.unique(np.stack([low[found], high[found], self.sizes[found]], axis=1), axis=0, return_index=True, return_inverse=True)
+        classes, which = np.unique(np.stack([low[found], high[found], self.sizes[found]], axis=1), axis=0, return_inverse=True)
         place, of_class = _spans(classes[:, 0], classes[:, 1] - classes[:, 0])
         at, size = array.at[place], classes[of_class, 2]
         hit = covered(at, size, len(text.codes))
         doc = np.searchsorted(words.offsets, at, "right") - 1
-        length = self._extend(text, at, self.starts[found[first]][of_class], size)
-        longest = np.zeros(len(out), np.int64)
-        np.maximum.at(longest, doc, length)
+        longest, places = np.zeros(len(out), np.int64), np.unique(at)
+        length, *_ = self.array.longest(text, places, text.run[places])
+        np.maximum.at(longest, np.searchsorted(words.offsets, places, "right") - 1, length)
         pairs = np.unique(np.stack([doc, of_class], axis=1), axis=0)
         by_class = np.argsort(which.ravel(), kind="stable")
         number = np.bincount(which.ravel(), minlength=len(classes))
@@ -161,19 +173,10 @@ class Items:
             out[d] = (out[d][0], own, ids, int(longest[d]))
         return out
 
-    def _extend(self, text: Coded, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        length, live = size.copy(), np.arange(len(at))
-        most = np.minimum(text.run[at], self.coded.run[start])
-        while len(live):
-            live = live[length[live] < most[live]]
-            live = live[text.codes[at[live] + length[live]] == self.coded.codes[start[live] + length[live]]]
-            length[live] += 1
-        return length
-
 
 def _blocks(benchmark: DataFrame, window: int) -> list:
-    """Broadcast blocks of items, each of about BLOCK_BYTES of text at most."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """Broadcast blocks of items, each of about BLOCK_BYTES of text at most; repeated items are one."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = -(-size // BLOCK_BYTES) or 1
     out = []
@@ -196,14 +199,18 @@ def _join_spans(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.cumsum(delta[:size]) > 0, prepend=False, append=False))
 
 
-def _search(column: pa.Array, blocks: list) -> Iterator[tuple[int, np.ndarray, list[str], int]]:
+def _search(column: pa.Array, blocks: list) -> list[tuple[int, np.ndarray, list[str], int]]:
     """The results of all blocks, text by text."""
-    for low, high in pieces(column, SHARD_BYTES):
-        part = column.slice(low, high - low)
-        found = blocks[0].value.search(part)
-        for block in blocks[1:]:
-            found = [(n, _join_spans(s, t), i + j, max(x, y)) for (n, s, i, x), (_, t, j, y) in zip(found, block.value.search(part), strict=True)]
-        yield from found
+    out = None
+    for block in blocks:
+        items, found = block.value, []
+        for low, high in pieces(column, SHARD_BYTES):
+            found += items.search(column.slice(low, high - low))
+        out = found if out is None else [(n, _join_spans(s, t), i + j, max(x, y)) for (n, s, i, x), (_, t, j, y) in zip(out, found, strict=True)]
+        if len(blocks) > 1:
+            # A worker would keep every block that it has read.
+            vars(block).pop("_value", None)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -212,8 +219,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     A window is ``window`` consecutive words of an item, or all its words if it
     has fewer; a document's word is hit if it lies in a place of any window.
     ``spans`` are the hit words as first, end, first, end ...; longest_match is
-    the longest verbatim match, in words, that extends such a place along the
-    first item that has the window.  Needs doc_id and text, and item_id and
+    the longest verbatim match with any item, in words, that begins at such a
+    place (0 if there is none).  An id in two blocks counts once.  Needs doc_id and text, and item_id and
     text; other columns are ignored.  Null, empty and wordless texts and items
     match nothing; an empty table of either kind gives no hits.  Rows are
     judged one by one, so repeated rows give repeated results; a null item_id
@@ -224,13 +231,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_search(batch.column(1), blocks))
+            found = _search(batch.column(1), blocks)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([n for n, *_ in found], pa.int64()),
                     pa.array([int((s[1::2] - s[0::2]).sum()) for _, s, *_ in found], pa.int64()),
-                    pa.array([i for _, _, i, _ in found], pa.list_(pa.string())),
+                    pa.array([sorted(set(i)) for _, _, i, _ in found], pa.list_(pa.string())),
                     pa.array([x for *_, x in found], pa.int64()),
                     pa.array([s.tolist() for _, s, *_ in found], pa.list_(pa.int64())),
                 ],
@@ -252,7 +259,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any hit word, with all their columns."""
+    """The rows of ``docs`` without any hit word, with all their columns.
+
+    Null, empty and wordless texts stay, as do all rows if the benchmark is
+    empty; of repeated rows all stay or none.
+    """
     blocks, at = _blocks(benchmark, window), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
