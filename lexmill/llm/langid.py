@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialise
 from .textscan import pieces, utf8
 
 WINDOW = 128
@@ -158,16 +159,23 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """(lang, windows): for each language some texts, least hash first, and WINDOWS_PER_TEXT hashed windows of each."""
+    """(lang, h, windows): for each language some different rows, least hash first, and WINDOWS_PER_TEXT hashed windows of each.
+
+    Never more than TEXTS rows, or one for each language, however often rows repeat.
+    """
     labelled = docs.where(~held_out()).where("lang is not null and text is not null and length(text) > 0")
     labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    number = labelled.agg(F.count_distinct("lang")).first()[0]
+    keys = materialise(labelled.select("lang", "h").distinct(), "labelled")
+    sizes = materialise(keys.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    number = sizes.count()
     most = min(TEXTS_PER_LANGUAGE, max(1, TEXTS // max(1, number)))
-    first = labelled.select("lang", "h")
-    # The least hashes of a language, without ranking it in one task: partial top lists of each task.
+    # Hashes are even: the ``most`` least ones of n lie below this share of their range, but for a chance below 1e-8, and then fewer are taken.
+    share = F.lit(most + 6 * most**0.5 + 6) / F.col("n")
+    low = keys.join(sizes, "lang").where(F.col("h").cast("double") <= (share - 0.5) * 2.0**64).select("lang", "h")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    first = first.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("lang").agg(F.max("h").alias("last"))
-    chosen = labelled.join(F.broadcast(first), "lang").where("h <= last").select("lang", "h", "text")
+    chosen = materialise(low.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank"), "chosen")
+    # At most TEXTS rows, or one for each language.
+    chosen = labelled.join(F.broadcast(chosen) if number <= TEXTS else chosen, ["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +190,9 @@ def sample(docs: DataFrame) -> DataFrame:
                 blobs.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["lang", "h", "windows"])
 
-    return chosen.mapInArrow(run, "lang string, h long, windows binary")
+    cut = chosen.select("lang", "h", "text").mapInArrow(run, "lang string, h long, windows binary")
+    # Repeated rows have one hash and count once.
+    return cut.dropDuplicates(["lang", "h"])
 
 
 def fit(docs: DataFrame) -> Network:
