@@ -1,15 +1,17 @@
 """Removal of lines that many documents share, by levelled sorted runs of line hashes.
 
-A run is a table of (h1, h2, n_docs), sorted by the 128-bit hash of a line's
-key.  Each batch of documents adds a run to level 0; ``fanout`` runs of a level
-are merged into one of the next, so n batches leave about fanout * log(n) runs
-and every hash is rewritten log(n) times.  A batch's lines are then checked by
-a merge join against the runs.
+A run is a table of (h1, h2, n_docs), bucketed and sorted by the 128-bit hash
+of a line's key.  Batches of documents arrive one after another.  The hashes of
+a batch are merge-anti-joined with the runs, which drops those that a run
+already has in ``min_docs`` documents; the rest is a run of level 0.  ``fanout``
+runs of a level are merged into one of the next, so n batches leave about
+fanout * log(n) runs and a hash is rewritten log(n) times.  Batches and runs
+have the same buckets, so neither the joins nor the merging of two runs shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,51 +20,76 @@ from .shared import BLANKS, counted_join, lower_ascii, shared_folder
 
 MIN_DOCS = 10
 BATCHES = 4
-FANOUT = 4
+FANOUT = 2
+#: Documents for each bucket of a run, about.
+BUCKET_DOCS = 50_000
 
 
 class LineRuns:
-    """The levelled runs of one corpus, in a folder that all executors share."""
+    """The levelled runs of one corpus, as external tables in a folder that all executors share.
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path, fanout
-        self.levels: list[list[str]] = []
-        self.made = 0
+    Within ``with``; its end drops the tables' names.  A count is of the
+    documents of all batches, but for hashes that had ``min_docs`` before a
+    batch came: for these it is at least ``min_docs``.
+    """
 
-    def add(self, runs: DataFrame, batches: int) -> None:
-        """Adds runs (batch, h1, h2, n_docs), one for each batch number, with one write; then compacts full levels."""
-        path = self._name()
-        runs.repartition("h1").sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(path)
-        for b in range(batches):
-            self._place(0, f"{path}/batch={b}")
+    def __init__(self, spark: SparkSession, path: str, min_docs: int, buckets: int = 8, fanout: int = FANOUT):
+        self.spark, self.path, self.min_docs, self.buckets, self.fanout = spark, path, min_docs, buckets, fanout
+        self.levels: list[list[str]] = []
+        self.names: list[str] = []
+        self.compactions = 0
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def table(self, rows: DataFrame, *by: str) -> str:
+        """Writes rows as a table of this run's buckets, with a folder for each value of ``by``."""
+        name = f"lexmill_{uuid.uuid4().hex}"
+        self.names.append(name)
+        writer = rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.path}/{name}")
+        (writer.partitionBy(*by) if by else writer).saveAsTable(name)
+        return name
+
+    def inbox(self, counted: DataFrame) -> DataFrame:
+        """Rows (batch, h1, h2, n_docs) in the buckets of the runs, so that each batch can be read alone."""
+        return self.spark.table(self.table(counted.repartition(self.buckets, "h1", "h2"), "batch"))
+
+    def add(self, counts: DataFrame) -> None:
+        """Takes a batch (h1, h2, n_docs): hashes that no run has in ``min_docs`` documents become a run; full levels are merged."""
+        for name in self._runs():
+            known = self.spark.table(name).where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+            counts = counts.join(known.hint("merge"), ["h1", "h2"], "left_anti")
+        self._place(0, self.table(counts.select("h1", "h2", "n_docs")))
 
     def merged(self) -> DataFrame:
         """(h1, h2, n_docs) over all runs."""
-        return self._merge([p for level in self.levels for p in level])
-
-    def _name(self) -> str:
-        self.made += 1
-        return f"{self.path}/run-{self.made:06d}"
+        return self._merge(self._runs())
 
-    def _merge(self, paths: list[str]) -> DataFrame:
-        schema = "h1 long, h2 long, n_docs long"
-        runs = [self.spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(p) for p in paths if self._exists(p)]
-        union = reduce(DataFrame.unionByName, runs, self.spark.createDataFrame([], schema))
-        return union.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+    def _runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+    def _merge(self, names: list[str]) -> DataFrame:
+        # Merge joins, not a union with an aggregate: without a shuffle, that one has left equal hashes of two bucketed tables apart.
+        out = self.spark.table(names[0]).select("h1", "h2", "n_docs") if names else self.spark.createDataFrame([], "h1 long, h2 long, n_docs long")
+        for name in names[1:]:
+            other = self.spark.table(name).select("h1", "h2", F.col("n_docs").alias("more")).hint("merge")
+            total = F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+            out = out.join(other, ["h1", "h2"], "full_outer").select("h1", "h2", total.cast("long").alias("n_docs"))
+        return out
 
-    def _place(self, level: int, path: str) -> None:
+    def _place(self, level: int, name: str) -> None:
         if len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
-            target = self._name()
-            self._merge(self.levels[level]).sortWithinPartitions("h1", "h2").write.parquet(target)
+            merged = self.table(self._merge(self.levels[level]))
+            self.compactions += 1
             self.levels[level] = []
-            self._place(level + 1, target)
+            self._place(level + 1, merged)
 
 
 def line_keys(lines: Column) -> Column:
@@ -90,11 +117,13 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     keyed = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.array_distinct(line_keys(lines)).alias("keys"))
     each = keyed.select("batch", F.explode("keys").alias("key")).where(F.length("key") >= min_chars)
     counted = each.select("batch", *_key_hashes(F.col("key"))).groupBy("batch", "h1", "h2").agg(F.count("*").alias("n_docs"))
-    runs = LineRuns(spark, shared_folder(spark), fanout)
-    runs.add(counted, batches)
-    path = f"{runs.path}/common"
-    runs.merged().where(F.col("n_docs") >= min_docs).write.parquet(path)
-    common = spark.read.schema("h1 long, h2 long, n_docs long").parquet(path).withColumn("common", F.lit(True))
+    path = shared_folder(spark)
+    with LineRuns(spark, path, min_docs, max(8, min(4096, rows.count() // BUCKET_DOCS)), fanout) as runs:
+        arriving = runs.inbox(counted)
+        for b in range(batches):
+            runs.add(arriving.where(F.col("batch") == b).drop("batch"))
+        runs.merged().where(F.col("n_docs") >= min_docs).write.parquet(f"{path}/common")
+    common = spark.read.schema("h1 long, h2 long, n_docs long").parquet(f"{path}/common").withColumn("common", F.lit(True))
 
     mark = F.xxhash64("text").alias("mark")
     placed = rows.select("doc_id", mark, F.posexplode(line_keys(lines)).alias("at", "key")).where(F.length("key") >= min_chars)
