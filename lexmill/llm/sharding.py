@@ -15,12 +15,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import counted_join, materialise
+from .shared import counted_join, materialise, shared_folder
 
 MAX_BYTES = 32 << 20
+#: A directory of so many rows at most is broadcast: some 20 MB, for about 100 GB of texts at MAX_BYTES.
+BROADCAST_ROWS = 200_000
 #: Bits by which the first histogram is finer than evenly filled shards would need.
 SLACK_BITS = 6
 
@@ -75,34 +77,105 @@ def directory(rows: DataFrame, max_bytes: int = MAX_BYTES) -> list[tuple[int, Da
         floor, bits = bits + 1, min(64, bits + SLACK_BITS)
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """Columns h and bytes of each row, and all of its own in ``__doc``."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("__doc")
+    return docs.select(own, F.xxhash64(docs["doc_id"].cast("long"), text).alias("h"), F.octet_length(text).cast("long").alias("bytes"))
+
+
+def _paged(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """Rows of buckets of one hash over the limit: cut into pages that fit, a row at least each.
+
+    Such rows are equal, so any of them can be on any page.  They are numbered
+    by the part of a written table that they are in, so that not even copies of
+    a third of all rows meet in one task.
+    """
+    rows = materialise(rows.drop("page", "shard_bytes").withColumn("__part", F.spark_partition_id()), "over")
+    parts = materialise(rows.groupBy("h", "__part").agg(F.count("*").alias("n"), F.max("bytes").alias("largest")), "parts")
+    by_hash = Window.partitionBy("h")
+    before = F.sum("n").over(by_hash.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    each = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest(F.max("largest").over(by_hash), F.lit(1))))
+    parts = parts.select("h", "__part", F.coalesce(before, F.lit(0)).alias("before"), each.alias("each"))
+    own = F.row_number().over(Window.partitionBy("h", "__part").orderBy("bytes")) - 1
+    paged = rows.withColumn("own", own).join(parts, ["h", "__part"])
+    paged = paged.withColumn("page", F.floor((F.col("own") + F.col("before")) / F.col("each")).cast("int"))
+    paged = materialise(paged.drop("own", "before", "each", "__part"), "paged")
+    sums = paged.groupBy("h", "page").agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("n"))
+    return counted_join(paged, materialise(sums, "pages"), ["h", "page"], "n", ["h", "page"])
+
+
+def _placed(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """Adds shard, depth, page and shard_bytes to rows with columns h and bytes."""
+    found = rows
+    places = directory(materialise(rows.select("h", "bytes"), "rows"), max_bytes)
+    for i, (bits, pages) in enumerate(places):
+        pages = pages.select("prefix", "n", F.struct("shard", "depth", "shard_bytes").alias(f"at{i}"))
+        found = found.withColumn("prefix", _prefix(F.col("h"), bits))
+        if pages.count() <= BROADCAST_ROWS:
+            found = found.join(F.broadcast(pages.drop("n")), "prefix", "left").drop("prefix")
+        else:
+            found = counted_join(found, pages, ["prefix"], "n", ["h"]).drop("prefix")
+    names = [f"at{i}" for i in range(len(places))]
+    at = F.coalesce(*names) if names else F.struct(F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"))
+    found = found.withColumn("at", at).select(*rows.columns, "at.shard", "at.depth", "at.shard_bytes").withColumn("page", F.lit(0))
+    if not names or _fit(places, max_bytes):
+        return found
+    over = F.col("shard_bytes") > max_bytes
+    return found.where(~over).unionByName(_paged(found.where(over), max_bytes))
+
+
+def _fit(places: list[tuple[int, DataFrame]], max_bytes: int) -> bool:
+    """Whether no bucket of one hash is over the limit."""
+    return all(pages.where(F.col("shard_bytes") > max_bytes).isEmpty() for _, pages in places)
+
+
 def shards(docs: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_bytes, shard (its leading bits), depth, page, shard_bytes.
 
     A document's bytes are those of its text in UTF-8; null is empty.  Only
     doc_id and text are read.  A bucket of one hash, which is one document or
     repeated rows of it, can't be split by bits: if it is over the limit its
-    rows go to pages 0, 1, ... of about ``max_bytes``, a row at least each.
-    An empty table has no shards.
+    rows go to pages 0, 1, ..., each within the limit unless it is one row.
+    shard_bytes are the bytes of the row's shard and page.  An empty table has
+    no shards.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("h"), F.octet_length(text).cast("long").alias("bytes"))
-    left, out = materialise(rows, "rows"), []
-    for bits, pages in directory(left.select("h", "bytes"), max_bytes):
-        placed = counted_join(left.withColumn("prefix", _prefix(F.col("h"), bits)), pages, ["prefix"], "n", ["h"]).drop("prefix")
-        placed = materialise(placed, f"placed-{bits}")
-        out.append(placed.where("shard is not null"))
-        left = placed.where("shard is null").select("doc_id", "h", "bytes")
-    if not out:
-        return left.select("doc_id", F.col("bytes").alias("n_bytes"), F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).alias("page"), F.lit(0).cast("long").alias("shard_bytes"))
-    found = reduce(DataFrame.unionByName, out)
-    over = F.col("shard_bytes") > max_bytes
-    upto = F.sum("bytes").over(Window.partitionBy("h").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    paged = found.where(over).withColumn("page", F.floor(F.coalesce(upto, F.lit(0)) / max_bytes).cast("int"))
-    found = found.where(~over).withColumn("page", F.lit(0)).unionByName(paged)
-    return found.select("doc_id", F.col("bytes").alias("n_bytes"), "shard", "depth", "page", "shard_bytes")
+    rows = _hashed(docs.select("doc_id", "text")).select(F.col("__doc.doc_id").cast("long").alias("doc_id"), "h", "bytes")
+    return _placed(materialise(rows, "hashes"), max_bytes).select("doc_id", F.col("bytes").alias("n_bytes"), "shard", "depth", "page", "shard_bytes")
+
 
+def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> list[str]:
+    """Writes all rows and columns of ``docs`` as Parquet, a folder for each shard and page; returns the two folder columns' names.
 
-def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> None:
-    """Writes ``docs`` as Parquet, a folder for each shard and page.  doc_ids must be unique and not null."""
-    placed = docs.join(shards(docs, max_bytes).select("doc_id", "shard", "page"), "doc_id")
-    placed.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    Those are shard (the letter b and the shard's bits) and page, with
+    underscores before them where ``docs`` has such a column.  Rows are placed
+    by their own text, so doc_ids may repeat or be null; repeated rows are all
+    written.  An empty table writes no folder.
+    """
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for name in ("shard", "page"):
+        while name in taken:
+            name = "_" + name
+        names.append(name)
+    placed = _placed(_hashed(docs), max_bytes)
+    placed = placed.select("__doc.*", F.concat(F.lit("b"), "shard").alias(names[0]), F.col("page").alias(names[1]))
+    placed.repartition(*names).write.partitionBy(*names).parquet(path)
+    return names
+
+
+def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A written table with the columns of ``schema`` (DDL, folder columns included); no rows where nothing was written."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def sharded(docs: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Writes the shards of ``docs`` to the shared folder and returns what reading them gives: the columns of ``shards``, from the files."""
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/shards"
+    write_shards(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path, max_bytes)
+    rows = read_shards(spark, path, "doc_id long, text string, shard string, page int")
+    rows = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr("substring(shard, 2)").alias("shard"), "page")
+    sums = materialise(rows.groupBy("shard", "page").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("n")), "sums")
+    out = counted_join(rows, sums, ["shard", "page"], "n", ["doc_id"])
+    return out.select("doc_id", "n_bytes", "shard", F.length("shard").alias("depth"), "page", "shard_bytes")
