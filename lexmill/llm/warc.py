@@ -38,10 +38,17 @@ class WarcError(ValueError):
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from some pages, least hash first; plain content where there are too few to train on."""
+    """A dictionary from some different pages, least hash first; plain content where there are too few to train on.
+
+    Only hashes are ranked; then at most SAMPLE_PAGES pages go to the driver,
+    however many rows repeat them.  Null and empty pages take no part; an empty
+    table gives a dictionary of a few bytes.
+    """
     html = F.col("html").cast("string")
-    small = pages.select(html.alias("html")).where((F.octet_length("html") > 0) & (F.octet_length("html") <= SAMPLE_BYTES))
-    samples = [r.html.encode() for r in small.orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()]
+    small = pages.select(html.alias("html"), F.xxhash64(html).alias("h")).where((F.octet_length("html") > 0) & (F.octet_length("html") <= SAMPLE_BYTES))
+    last = small.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    chosen = small.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).collect() if last is not None else []
+    samples = [r.html.encode() for r in sorted(chosen, key=lambda r: r.h)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -113,9 +120,12 @@ def frames(data: memoryview, where: str) -> Iterator[tuple[int, bytes]]:
     raw, at = bytes(data[8 : 8 + size]), 8 + size
     if len(raw) != size:
         fail(0, "the dictionary is cut off")
-    if raw[:4] == struct.pack("<I", FRAME_MAGIC):
-        raw = zstandard.ZstdDecompressor().decompress(raw)
-    codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+    try:
+        if raw[:4] == struct.pack("<I", FRAME_MAGIC):
+            raw = zstandard.ZstdDecompressor().decompress(raw)
+        codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+    except zstandard.ZstdError as e:
+        fail(0, f"the dictionary can't be read: {e}")
     while at < len(data):
         if at + 8 > len(data):
             fail(at, "a frame is cut off")
@@ -163,40 +173,54 @@ def parse(data: bytes, where: str) -> dict:
     size = fields["content-length"]
     if not size.isdigit() or len(rest) != int(size) + 4 or rest[-4:] != b"\r\n\r\n":
         raise WarcError(f"{where}: the block is not of {size[:20]} bytes")
-    http, found, payload = rest[:-4].partition(b"\r\n\r\n")
-    sizes = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    if not found or len(sizes) != 1 or not sizes[0].isdigit():
-        raise WarcError(f"{where}: no HTTP header with a length")
-    fields["payload_bytes"] = int(sizes[0])
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    block = rest[:-4]
+    fields["payload"], fields["payload_bytes"] = block, len(block)
+    fields["digest"] = fields.get("warc-payload-digest", fields.get("warc-block-digest", "")).removeprefix("sha1:")
+    if fields["warc-type"] not in ("response", "revisit"):
+        return fields
+    http, found, payload = block.partition(b"\r\n\r\n")
+    if not fields.get("content-type", "").startswith("application/http"):
+        payload = block
+    else:
+        sizes = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        if not found or len(sizes) > 1 or not all(x.isdigit() for x in sizes):
+            raise WarcError(f"{where}: no HTTP header with one length at most")
+        fields["payload_bytes"] = int(sizes[0]) if sizes else len(payload)
     if fields["warc-type"] == "response":
-        if len(payload) != fields["payload_bytes"] or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+        own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if len(payload) != fields["payload_bytes"] or ("warc-payload-digest" in fields and own != fields["digest"]):
             raise WarcError(f"{where}: the payload has not the length or digest that it is said to have")
-    elif fields["warc-type"] != "revisit" or "warc-refers-to" not in fields or payload:
-        raise WarcError(f"{where}: neither a response nor a revisit without payload")
-    fields["payload"], fields["digest"] = payload, digest
+        fields["digest"] = own
+    elif "warc-refers-to" not in fields or payload:
+        raise WarcError(f"{where}: a revisit with a payload, or of nothing")
+    fields["payload"] = payload
     return fields
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
+def read_archives(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """A row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, record_id.
 
-    Any breach of the format raises WarcError with archive and place.
+    All files under ``path`` whose names match ``glob`` are archives; empty
+    files have no records.  Records of other types pass with their whole block
+    as payload.  page_id and refers_to are null where an id isn't one of this
+    module's; record_id has any id as it stands.  Any breach of the format
+    raises WarcError with archive and place.
     """
 
     def page(urn: str | None) -> int | None:
-        found = (urn or "").strip("<>").removeprefix(_RECORD_URN)
-        return int(found) if found else None
+        bare = (urn or "").strip("<>")
+        found = bare.removeprefix(_RECORD_URN) if bare.startswith(_RECORD_URN) else ""
+        return int(found) if found.removeprefix("-").isdigit() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "record_id"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows, size = [], 0
                 for at, data in frames(memoryview(content.as_buffer()), name.as_py()):
                     f = parse(data, f"{name.as_py()}, byte {at}")
-                    rows.append((page(f["warc-record-id"]), f.get("warc-target-uri"), f["payload_bytes"], f["digest"], f["warc-type"], page(f.get("warc-refers-to")), f["payload"]))
+                    rows.append((page(f["warc-record-id"]), f.get("warc-target-uri"), f["payload_bytes"], f["digest"], f["warc-type"], page(f.get("warc-refers-to")), f["payload"], f["warc-record-id"].strip("<>")))
                     size += len(data)
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -204,8 +228,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where("length > 0").select("path", "content")
-    return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where("length > 0").select("path", "content")
+    return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
