@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,13 +32,12 @@ MODERN_FUNCTION_WORDS = tuple(
 
 @dataclass(frozen=True)
 class Profile:
-    """How text is normalised before it is read; ``exact`` folds case and composes by Unicode's full rules."""
+    """How text is normalised before it is read: composed, case folded, j as i, v as u, and without marks."""
 
     lower: bool = True
     j_to_i: bool = False
     v_to_u: bool = False
     strip_marks: bool = False
-    exact: bool = False
 
 
 def half_up(x: Column, digits: int) -> Column:
@@ -56,23 +57,49 @@ def normalize_whitespace(text: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
 
+@cache
+def _unusual() -> str:
+    """A class of the characters that composition or case folding treat otherwise than lower case and sharp s do."""
+    odd = {"\u03a3", "\u0130", *map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if not "\ud800" <= c <= "\udfff" and c != "ß" and (c.casefold() != c.lower() or unicodedata.normalize("NFC", c) != c):
+            odd.add(c)
+    spans: list[list[int]] = []
+    for n in sorted(map(ord, odd)):
+        if spans and spans[-1][1] == n - 1:
+            spans[-1][1] = n
+        else:
+            spans.append([n, n])
+    return r"[\p{M}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
 @F.pandas_udf(StringType())  # an object, as a string needs a session when this is imported
 def _fold_exactly(text: pd.Series, lower: pd.Series, strip: pd.Series) -> pd.Series:
-    def one(t: str, low: bool, bare: bool) -> str:
-        t = unicodedata.normalize("NFC", t or "")
+    def one(t: str | None, low: bool, bare: bool) -> str | None:
+        if t is None:
+            return None
+        t = unicodedata.normalize("NFC", t)
         t = t.casefold() if low else t
         return "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") if bare else t
 
     return pd.Series([one(*x) for x in zip(text, lower, strip, strict=True)])
 
 
+def fold_plain(text: Column) -> Column:
+    """Lower case and sharp s as ss: what folding is for texts without unusual characters."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def fold(text: Column, profile: Profile = Profile()) -> Column:
-    """Case and spelling by the profile; without ``exact``, case folding is lower case and sharp s as ss."""
+    """Composition, case and spelling by the profile.
+
+    Only texts with a character that needs Unicode's full rules go through
+    Python, batch by batch; of all others null goes there.
+    """
     text = F.coalesce(text, F.lit(""))
-    if profile.exact or profile.strip_marks:
-        text = _fold_exactly(text, F.lit(profile.lower), F.lit(profile.strip_marks))
-    elif profile.lower:
-        text = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    odd = text.rlike(r"[^\x00-\x7F]" if profile.strip_marks else _unusual())
+    exact = _fold_exactly(F.when(odd, text), F.lit(profile.lower), F.lit(profile.strip_marks))
+    text = F.coalesce(exact, fold_plain(text) if profile.lower else text)
     if profile.j_to_i:
         text = F.translate(text, "jJ", "iI")
     return F.translate(text, "vV", "uU") if profile.v_to_u else text
@@ -126,6 +153,21 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def number_label(value: Column, digits: int = 0) -> Column:
+    """A number with points between thousands, from five digits on, and a decimal comma."""
+    grouped = F.translate(F.format_number(F.coalesce(value, F.lit(0)), digits), ",.", ".,")
+    small = F.abs(F.round(F.coalesce(value, F.lit(0)), digits)) < 10000
+    return F.when(small, F.replace(grouped, F.lit("."), F.lit(""))).otherwise(grouped)
+
+
+def highlight_families(text: Column, aliases: list[str]) -> Column:
+    """Marks any alias, longest first, in any case and also within words."""
+    import re
+
+    found = "|".join(re.escape(a) for a in sorted(set(aliases), key=lambda a: (-len(a), a)))
+    return F.regexp_replace(escape_html(text), rf"(?iu)({found})", "<mark>$1</mark>") if found else escape_html(text)
+
+
 def highlight(text: Column, terms: list[str]) -> Column:
     """Marks whole-word occurrences of any term, longest first."""
     import re

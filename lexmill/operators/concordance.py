@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import Profile, apply_profile
 
 
-def _hits(text: Column, pattern: str) -> Column:
-    """Array of (start, match), code-point offsets from 0."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _hits(text: Column, pattern: str, limit: int) -> Column:
+    """Array of the first ``limit`` (start, match), code-point offsets from 0."""
+    pieces, found = F.split(text, pattern, -1), F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, limit)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("hits"))
     step = lambda a, x: F.struct(
         (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
@@ -30,9 +30,14 @@ def _contexts(rows: DataFrame, width: int) -> DataFrame:
 
 
 def kwic(docs: DataFrame, query: str, width: int = 72, limit: int = 100) -> DataFrame:
-    """The first hits of a literal, in any case, by document and place: id, start, left, match, right."""
+    """The first hits of a literal, in any case, by document and place: id, start, left, match, right.
+
+    The query is stripped; an empty one has no hits.
+    """
+    query = query.strip()
     pattern = "(?iu)" + re.escape(query)
-    rows = docs.where(F.col("text").rlike(pattern)).orderBy("id").limit(limit).select("id", "text", F.explode(_hits(F.col("text"), pattern)).alias("h"))
+    docs = docs.where(F.col("text").rlike(pattern)) if query else docs.where(F.lit(False))
+    rows = docs.orderBy("id").limit(limit).select("id", "text", F.explode(_hits(F.col("text"), pattern, limit)).alias("h"))
     return _contexts(rows.select("id", "text", "h.*"), width).orderBy("id", "start").limit(limit).select("id", "start", "left", "match", "right")
 
 
@@ -42,7 +47,18 @@ def family_contexts(docs: DataFrame, families: dict[str, list[str]], profile: Pr
     cases = []
     for name, aliases in families.items():
         words = "|".join(re.escape(a) for a in sorted(set(aliases), key=lambda a: (-len(a), a)))
-        cases.append(F.struct(F.lit(name).alias("family"), _hits(F.col("text"), rf"(?iu)(?<![\p{{L}}\p{{Nl}}\p{{No}}])(?:{words})(?![\p{{L}}\p{{Nl}}\p{{No}}])").alias("hits")))
+        cases.append(F.struct(F.lit(name).alias("family"), _hits(F.col("text"), rf"(?iu)(?<![\p{{L}}\p{{Nl}}\p{{No}}])(?:{words})(?![\p{{L}}\p{{Nl}}\p{{No}}])", limit).alias("hits")))
     rows = one_line.select("id", "text", F.explode(F.array(*cases)).alias("c")).select("id", "text", "c.family", F.posexplode("c.hits").alias("idx", "h"))
     rows = rows.where(F.col("idx") < limit).select("id", "text", "family", "idx", "h.*")
     return _contexts(rows, width).select("family", "id", "idx", "left", "match", "right")
+
+
+def feature_contexts(docs: DataFrame, feature: str, left_id: int, right_id: int, width: int = 72) -> DataFrame:
+    """Contexts of a feature in the two documents that it sets apart."""
+    return kwic(docs.where(F.col("id").isin(left_id, right_id)), feature, width)
+
+
+def evidence(docs: DataFrame, lemmas: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """(id, text, lemma_text): the text by the profile and the lemmas of (id, tokens), if any, joined by spaces."""
+    rows = docs.select("id", apply_profile(F.col("text"), profile).alias("text")).join(lemmas.select("id", "tokens"), "id", "left")
+    return rows.select("id", "text", F.coalesce(F.array_join("tokens", " "), F.lit("")).alias("lemma_text"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_whitespace, tokenize
@@ -18,7 +21,7 @@ def load(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc "), F.col("doc_id")).alias("title"),
         F.col("source").alias("author"),
         F.col("lang").alias("genre"),
-        F.lit("").alias("period"),
+        *[F.lit("").alias(c) for c in ("period", "place", "witness", "date_label")],
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
@@ -49,7 +52,7 @@ def parse_ids(query: str) -> list[int]:
     return [int(x) for x in query.split(",") if x.strip().isdigit()]
 
 
-def search(docs: DataFrame, query: str, columns: tuple[str, ...] = ("title", "author", "genre", "period")) -> DataFrame:
+def search(docs: DataFrame, query: str, columns: tuple[str, ...] = ("title", "author", "genre", "period", "place", "witness")) -> DataFrame:
     """Case-insensitive substring search over some columns."""
     return docs.where(F.lower(F.concat_ws(" ", *columns)).contains(query.lower()))
 
@@ -73,50 +76,140 @@ def annotations_of(annotations: DataFrame, document_id: int) -> DataFrame:
     return annotations.where(F.col("document_id") == document_id).orderBy("start_offset", "id")
 
 
+#: What an annotation has where nothing is given.
+ANNOTATION_DEFAULTS = {"start_offset": 0, "end_offset": 0, "quote": "", "label": "nota", "body": "", "certainty": "possibile", "source": ""}
+
+
 def add_annotation(annotations: DataFrame, docs: DataFrame, new: DataFrame) -> DataFrame:
-    """Appends the annotations whose document exists."""
-    return annotations.unionByName(new.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi"))
+    """Appends the annotations whose document exists.
+
+    Missing or null values get their defaults; offsets are cast to whole
+    numbers, which fails for other text; ids count on from the largest.
+    """
+    for name, value in ANNOTATION_DEFAULTS.items():
+        given = F.col(name).cast("int" if isinstance(value, int) else "string") if name in new.columns else F.lit(None)
+        new = new.withColumn(name, F.coalesce(given, F.lit(value)))
+    new = new.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    if "id" not in new.columns:
+        last = annotations.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        # A few rows from the caller, not a corpus.
+        new = new.withColumn("id", F.lit(last) + F.row_number().over(Window.orderBy("document_id", "start_offset", "end_offset")))
+    return annotations.unionByName(new.select(*[F.col(c) if c in new.columns else F.lit(None).alias(c) for c in annotations.columns]))
+
+
+def captured(text: str, selected: str, before: str) -> dict:
+    """A selection as an annotation's place: it begins where the text before it ends."""
+    if text[len(before) : len(before) + len(selected)] != selected:
+        raise ValueError("the selection doesn't follow the text before it")
+    return {"start_offset": len(before), "end_offset": len(before) + len(selected), "quote": selected}
 
 
 def delete_annotation(annotations: DataFrame, annotation_id: int) -> DataFrame:
+    """Raises ValueError if there is no such annotation."""
+    if annotations.where(F.col("id") == annotation_id).isEmpty():
+        raise ValueError(f"no annotation {annotation_id}")
     return annotations.where(F.col("id") != annotation_id)
 
 
-def update_text(docs: DataFrame, document_id: int, text: Column | str) -> DataFrame:
-    """New text for one document; its parse is dropped only if the text differs."""
-    new = text if isinstance(text, Column) else F.lit(text)
+def update_document(docs: DataFrame, document_id: int, **values: str) -> DataFrame:
+    """New metadata or text for one document; raises ValueError without such a document, or for an empty title or text.
+
+    New text is normalised again, and the parse is dropped only if it differs.
+    """
     own = F.col("id") == document_id
-    if "conllu" in docs.columns:
-        docs = docs.withColumn("conllu", F.when(own & (F.col("text") != new), "").otherwise(F.col("conllu")))
-    return docs.withColumn("text", F.when(own, new).otherwise(F.col("text")))
+    if docs.where(own).isEmpty():
+        raise ValueError(f"no document {document_id}")
+    empty = [k for k in ("title", "text") if k in values and not values[k].strip()]
+    if empty:
+        raise ValueError(f"{empty[0]} is empty")
+    out = {k: F.when(own, F.lit(v.strip())).otherwise(F.col(k)) for k, v in values.items()}
+    if "text" in values:
+        differs = own & (F.col("text") != F.lit(values["text"].strip()))
+        out |= {c: F.when(differs, "").otherwise(F.col(c)) for c in ("conllu", "conllu_source") if c in docs.columns}
+        if "normalized_text" in docs.columns:
+            out["normalized_text"] = F.when(own, normalize_whitespace(F.lit(values["text"].strip()))).otherwise(F.col("normalized_text"))
+    return docs.withColumns(out)
+
+
+def delete_document(docs: DataFrame, annotations: DataFrame, runs: DataFrame, document_id: int) -> tuple[DataFrame, DataFrame, DataFrame, int, list[str]]:
+    """The three tables without the document, its annotations and every run over it; how many runs went, and hashes of uploads that no document has any longer."""
+    ids = F.coalesce(F.from_json("document_ids", "array<bigint>"), F.array().cast("array<bigint>"))
+    over, own = F.array_contains(ids, document_id), F.col("id") == document_id
+    left, unused = docs.where(~own), []
+    if "source_hash" in docs.columns:
+        gone = docs.where(own & (F.col("source_hash") != "")).select("source_hash").distinct()
+        unused = [r.source_hash for r in gone.join(left.select("source_hash"), "source_hash", "left_anti").collect()]
+    return left, annotations.where(F.col("document_id") != document_id), runs.where(~over), runs.where(over).count(), unused
 
 
-def delete_document(docs: DataFrame, annotations: DataFrame, runs: DataFrame, document_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All three tables without the document, its annotations and every run over it."""
-    ids = F.coalesce(F.from_json("document_ids", "array<bigint>"), F.array().cast("array<bigint>"))
-    return docs.where(F.col("id") != document_id), annotations.where(F.col("document_id") != document_id), runs.where(~F.array_contains(ids, document_id))
+def append_run(runs: DataFrame, kind: str, ids: list[int], parameters: dict) -> DataFrame:
+    """The log of runs with one more, its id after the largest; ids and parameters are JSON."""
+    spark = runs.sparkSession
+    last = runs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    row = spark.createDataFrame([(last + 1, kind, json.dumps(ids), json.dumps(parameters, ensure_ascii=False, sort_keys=True))], "id long, kind string, document_ids string, parameters string")
+    return runs.unionByName(row.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")))
+
 
+def report_runs(runs: DataFrame) -> DataFrame:
+    """Runs of the pipeline that have a report."""
+    url = F.get_json_object("parameters", "$.report_url")
+    return runs.where((F.col("kind") == "pipeline") & (F.coalesce(url, F.lit("")) != ""))
 
-def serialized(docs: DataFrame) -> DataFrame:
-    """Listing rows: id, title, author, genre, token_count and the hash of the normalised text."""
-    return docs.select("id", "title", "author", "genre", F.size(tokenize(F.col("text"))).cast("long").alias("token_count"), F.md5(normalize_whitespace(F.col("text"))).alias("text_md5"))
+
+def run_by_id(runs: DataFrame, run_id: int) -> DataFrame:
+    """One run with its ids as an array and its parameters as a map; broken JSON gives empty ones."""
+    parameters = F.coalesce(F.from_json("parameters", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return decoded_runs(runs.where(F.col("id") == run_id)).withColumn("parameters", parameters)
+
+
+def with_status(modules: DataFrame, statuses: DataFrame) -> DataFrame:
+    """A catalog's rows (id, label, ...) with the status of each; unknown ones are missing."""
+    return modules.join(statuses.select("id", F.col("status").alias("run_status")), "id", "left").withColumn("run_status", F.coalesce("run_status", F.lit("missing")))
+
+
+def warnings(docs: DataFrame, short: int = 1000) -> DataFrame:
+    """(warning, detail): short documents by title, several periods, several genres, fewer than three documents."""
+    n = F.size(tokenize(F.col("text")))
+    known = lambda c: F.count_distinct(F.nullif(F.col(c), F.lit("")))
+    figures = docs.agg(F.count("*").alias("n"), known("period").alias("periods"), known("genre").alias("genres"), F.count_if(n < short).alias("short"))
+    cases = [("short", F.col("short") > 0, "short"), ("periods", F.col("periods") > 1, "periods"), ("genres", F.col("genres") > 1, "genres"), ("few", F.col("n") < 3, "n")]
+    rows = F.filter(F.array(*[F.struct(F.lit(k).alias("warning"), F.when(c, F.col(d)).cast("long").alias("detail")) for k, c, d in cases]), lambda x: x["detail"].isNotNull())
+    return figures.select(F.explode(rows).alias("w")).select("w.*")
+
+
+def serialized(docs: DataFrame, include_text: bool = False) -> DataFrame:
+    """Listing rows: id, title, author, genre, token_count, has_syntax and the hash of the normalised text; on request the text, as given and normalised."""
+    syntax = F.trim(F.coalesce("conllu", F.lit(""))) != "" if "conllu" in docs.columns else F.lit(False)
+    own = ["id", "title", "author", "genre", F.size(tokenize(F.col("text"))).cast("long").alias("token_count"), F.md5(normalize_whitespace(F.col("text"))).alias("text_md5")]
+    texts = ["text", normalize_whitespace(F.col("text")).alias("normalized_text")] if include_text else []
+    return docs.select(*own, syntax.alias("has_syntax"), *texts)
 
 
 def merged_spans(annotations: DataFrame) -> DataFrame:
-    """Spans to render: valid ones, by start, each beginning at or after the end of the one before; rest dropped."""
-    spans = annotations.where("start_offset >= 0 and end_offset > start_offset")
-    spans = spans.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("start_offset", "end_offset", "id"))).alias("spans"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start_offset:int,end_offset:int,id:bigint>>").alias("kept"))
-    add = lambda a, s: F.when(s["start_offset"] >= a["end"], F.struct(s["end_offset"].alias("end"), F.concat(a["kept"], F.array(s)).alias("kept"))).otherwise(a)
-    return spans.select("document_id", F.explode(F.aggregate("spans", start, add)["kept"]).alias("s")).select("document_id", "s.*")
+    """Spans to render: valid ones, by start, each beginning at or after the end of the one before; rest dropped.
+
+    Whether a span stays depends on all before it in its document, so a
+    document's spans are read in order, once.
+    """
+    schema = "document_id long, start_offset int, end_offset int, id long"
+    spans = annotations.where("start_offset >= 0 and end_offset > start_offset").select("document_id", "start_offset", "end_offset", "id")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, end, keep = pdf.sort_values(["start_offset", "end_offset", "id"]), 0, []
+        for a, b in zip(pdf.start_offset, pdf.end_offset, strict=True):
+            keep.append(a >= end)
+            end = b if keep[-1] else end
+        return pdf[keep]
+
+    return spans.groupBy("document_id").applyInPandas(walk, schema)
 
 
-def audit(docs: DataFrame) -> DataFrame:
-    """Counts by genre: documents, authors, short documents and whether a title or author matches a name."""
+def audit(docs: DataFrame, name: str = "src1") -> DataFrame:
+    """Counts by genre: documents, authors, short documents and whether a title or author has a name in it, in any case."""
     n = F.size(tokenize(F.col("text")))
     return docs.groupBy("genre").agg(
         F.count("*").alias("documents"),
         F.count_distinct("author").alias("authors"),
         F.sum((n < 1000).cast("long")).alias("short_documents"),
-        F.max(F.concat_ws(" ", "title", "author").rlike("(?i)src1")).alias("has_name"),
+        F.max(F.lower(F.concat_ws(" ", "title", "author")).contains(name.lower())).alias("has_name"),
     )

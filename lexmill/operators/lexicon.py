@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import MODERN_FUNCTION_WORDS, Profile, half_up, is_content, passages, tokenize, trigrams
+from ..functions.text import MODERN_FUNCTION_WORDS, TOKEN, Profile, fold, half_up, is_content, passages, tokenize, trigrams
 
 STOP = MODERN_FUNCTION_WORDS
 
 
+def by_document(docs: DataFrame) -> DataFrame:
+    """id and text, dealt by id: what is counted, ranked or joined by document after this needs no further shuffle of tokens."""
+    return docs.select("id", "text").repartition("id")
+
+
 def tokens(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """(id, pos, term)."""
-    return docs.select("id", F.posexplode(tokenize(F.col("text"), profile)).alias("pos", "term"))
+    return by_document(docs).select("id", F.posexplode(tokenize(F.col("text"), profile)).alias("pos", "term"))
+
+
+def token_offsets(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """(id, pos, term, start, end): tokens with their places in the folded text, in code points from 0."""
+    folded = by_document(docs).select("id", fold(F.col("text"), profile).alias("t"))
+    gaps, terms = F.split("t", TOKEN, -1), F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0))
+    each = folded.select("id", F.posexplode(F.zip_with(terms, F.slice(gaps, F.lit(1), F.size(terms)), lambda t, g: F.struct(t.alias("term"), F.length(g).alias("gap")))).alias("pos", "x")).select("id", "pos", "x.*")
+    end = F.sum(F.col("gap") + F.length("term")).over(Window.partitionBy("id").orderBy("pos"))
+    return each.withColumn("end", end).select("id", "pos", "term", (F.col("end") - F.length("term")).alias("start"), "end")
 
 
 def counts(toks: DataFrame) -> DataFrame:
@@ -30,6 +44,14 @@ def content(df: DataFrame, stop_words: tuple[str, ...] = STOP) -> DataFrame:
     return df.where(is_content(F.col("term"), stop_words))
 
 
+def frequency_table(docs: DataFrame, content_only: bool = False, k: int = 18, profile: Profile = Profile(), stop_words: tuple[str, ...] = STOP) -> DataFrame:
+    """(id, term, cnt, per_1000, rank): the most frequent terms with their rate in all of the document's tokens."""
+    each = counts(tokens(docs, profile))
+    sizes = each.groupBy("id").agg(F.sum("cnt").alias("n"))
+    top = top_per_document(content(each, stop_words) if content_only else each, k).join(sizes, "id")
+    return top.select("id", "term", "cnt", half_up(1000.0 * F.col("cnt") / F.col("n"), 3).alias("per_1000"), "rank")
+
+
 def corpus_top(toks: DataFrame, k: int = 100) -> DataFrame:
     """The corpus's k most frequent terms, ties by first document and place."""
     each = toks.groupBy("term").agg(F.count("*").alias("cnt"), F.min(F.struct("id", "pos")).alias("first"))
@@ -37,7 +59,7 @@ def corpus_top(toks: DataFrame, k: int = 100) -> DataFrame:
 
 
 def trigram_counts(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    grams = docs.select("id", F.posexplode(trigrams(F.col("text"), profile)).alias("pos", "term"))
+    grams = by_document(docs).select("id", F.posexplode(trigrams(F.col("text"), profile)).alias("pos", "term"))
     return counts(grams)
 
 
@@ -65,7 +87,7 @@ def moving_type_ratio(toks: DataFrame, sizes: DataFrame, window: int = 50) -> Da
 def summary(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """One row a document: counts, mean lengths, type ratios and warnings."""
     toks = tokens(docs, profile)
-    n_passages = docs.select("id", F.size(passages(F.col("text"))).cast("long").alias("sentence_count"), F.size(tokenize(F.col("text"), profile)).alias("n"))
+    n_passages = by_document(docs).select("id", F.size(passages(F.col("text"))).cast("long").alias("sentence_count"), F.size(tokenize(F.col("text"), profile)).alias("n"))
     figures = toks.groupBy("id", "term").agg(F.count("*").alias("cnt"))
     figures = figures.groupBy("id").agg(F.count("*").alias("type_count"), F.sum(F.col("cnt") * F.length("term")).alias("letters"))
     both = n_passages.join(figures, "id", "left").join(moving_type_ratio(toks, n_passages), "id", "left")
@@ -92,18 +114,19 @@ def log_dice(c: Column, total: Column) -> Column:
 def collocations(docs: DataFrame, k: int = 15, window: int = 5, profile: Profile = Profile(), stop_words: tuple[str, ...] = STOP) -> DataFrame:
     """(id, left, right, cnt, log_dice): the k best pairs of content words within ``window`` tokens.
 
-    The words after each token come from its own array of tokens, so there is
-    no join of positions.
+    The words after each token come from the document's array, laid beside
+    itself at each distance, so there is no join of positions.
     """
-    arrays = docs.select("id", tokenize(F.col("text"), profile).alias("terms"))
-    near = arrays.select("id", F.posexplode("terms").alias("pos", "term"), "terms").where(is_content(F.col("term"), stop_words))
-    near = near.select("id", "pos", "term", F.explode(F.slice("terms", F.col("pos") + 2, F.lit(window))).alias("other"))
-    near = near.where(is_content(F.col("other"), stop_words) & (F.col("other") != F.col("term")))
-    pairs = near.groupBy("id", F.least("term", "other").alias("left"), F.greatest("term", "other").alias("right")).agg(F.count("*").alias("cnt"), F.min("pos").alias("first_pos"))
+    arrays = by_document(docs).select("id", tokenize(F.col("text"), profile).alias("terms"))
+    beside = lambda d: F.zip_with("terms", F.slice("terms", F.lit(d + 1), F.greatest(F.size("terms"), F.lit(1))), lambda a, b: F.struct(a.alias("term"), b.alias("other")))
+    near = arrays.select("id", F.explode(F.flatten(F.array(*[beside(d) for d in range(1, window + 1)]))).alias("p")).select("id", "p.*")
+    near = near.where(is_content(F.col("term"), stop_words) & is_content(F.col("other"), stop_words) & (F.col("other") != F.col("term")))
+    pairs = near.groupBy("id", F.least("term", "other").alias("left"), F.greatest("term", "other").alias("right")).agg(F.count("*").alias("cnt"))
     pairs = pairs.where("cnt >= 2")
     single = counts(tokens(docs, profile)).select("id", "term", F.col("cnt").alias("n"))
     for side in ("left", "right"):
-        pairs = pairs.join(single.withColumnsRenamed({"term": side, "n": f"n_{side}"}), ["id", side])
+        # Both sides lie by id already; a broadcast, planned by the size of the files, would be of all counts.
+        pairs = pairs.join(single.withColumnsRenamed({"term": side, "n": f"n_{side}"}).hint("merge"), ["id", side])
     pairs = pairs.withColumn("log_dice", log_dice(F.col("cnt"), F.col("n_left") + F.col("n_right")))
     w = Window.partitionBy("id").orderBy(F.desc("log_dice"), F.desc("cnt"), "left", "right")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "left", "right", "cnt", "log_dice", "rank")

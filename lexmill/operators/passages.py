@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import Profile, is_content, tokenize
+from ..functions.text import Profile, half_up, is_content, tokenize
 from .lexicon import STOP, passage_rows
 
 THRESHOLD = 0.08
@@ -36,7 +36,7 @@ def similar(docs: DataFrame, k: int = 30, threshold: float = THRESHOLD, profile:
     unit = w.select("id", "passage_idx", "term", (F.col("weight") / norm).alias("u"))
     right = unit.withColumnsRenamed({"id": "id2", "passage_idx": "idx2", "u": "u2"})
     pairs = unit.join(right, "term").where("id < id2").groupBy("id", "passage_idx", "id2", "idx2").agg(F.sum(F.col("u") * F.col("u2")).alias("s"))
-    top = pairs.where(F.col("s") >= threshold).withColumn("similarity", F.round("s", 4)).orderBy(F.desc("similarity"), "id", "passage_idx", "id2", "idx2").limit(k)
+    top = pairs.where(F.col("s") >= threshold).withColumn("similarity", half_up(F.col("s"), 4)).orderBy(F.desc("similarity"), "id", "passage_idx", "id2", "idx2").limit(k)
     shared = F.broadcast(top).join(unit, ["id", "passage_idx"]).join(right, ["term", "id2", "idx2"])
     listed = F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("u") * F.col("u2")).alias("x"), "term"))), 1, 10), lambda x: x["term"])
     return shared.groupBy("id", "passage_idx", "id2", "idx2", "similarity").agg(listed.alias("shared_terms")).orderBy(F.desc("similarity"), "id", "passage_idx", "id2", "idx2")

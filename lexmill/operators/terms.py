@@ -3,40 +3,71 @@
 from __future__ import annotations
 
 import json
+import re
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Profile, half_up, tokenize
+from ..functions.text import Profile, apply_profile, half_up, tokenize
+from .concordance import family_contexts
 
 
-def load_families(spark, path: str) -> dict[str, list[str]]:
-    """Families of a JSON file {families: [{id, label, lemmas, aliases}]}, validated."""
+@dataclass(frozen=True)
+class Family:
+    """An entry of a vocabulary: written forms, and the lemmas that stand for them in parsed texts."""
+
+    id: str
+    aliases: tuple[str, ...]
+    lemmas: tuple[str, ...] = field(default=())
+    label: str = ""
+    description: str = ""
+
+    def terms(self, layer: str) -> tuple[str, ...]:
+        """What is counted in a layer of tokens: lemmas in one of lemmas, if there are any, else the written forms."""
+        return self.lemmas if layer.startswith("lemmas") and self.lemmas else self.aliases
+
+
+def load_families(spark, path: str) -> list[Family]:
+    """Families of a JSON file {families: [{id, label, description, lemmas, aliases}]}, in its order, validated."""
     content = json.loads(bytes(spark.read.format("binaryFile").load(path).first().content).decode("utf-8"))
-    out: dict[str, list[str]] = {}
+    if not isinstance(content, dict) or not isinstance(content.get("families"), list) or not content["families"]:
+        raise ValueError("the vocabulary has no list of families")
+    out: list[Family] = []
     for f in content["families"]:
-        name, aliases = str(f.get("id", "")).strip(), [str(a).strip() for a in [*f.get("aliases", []), *f.get("lemmas", [])] if str(a).strip()]
-        if not name or name in out or not aliases:
+        bare = lambda key: tuple(str(x).strip() for x in f.get(key) or [] if str(x).strip())  # noqa: B023, E731
+        name, label = str(f.get("id", "")).strip(), str(f.get("label", "")).strip()
+        if not name or not bare("aliases") or name in (x.id for x in out):
             raise ValueError(f"family {name!r} has no id or aliases, or its id is repeated")
-        out[name] = aliases
+        out.append(Family(name, bare("aliases"), bare("lemmas"), label or name, str(f.get("description", "")).strip()))
     return out
 
 
 def parse_terms(requested: str | list[str]) -> list[str]:
-    import re
-
     parts = re.split(r"[,;\n]+", requested) if isinstance(requested, str) else requested
-    return [p.strip() for p in parts if str(p).strip()]
-
-
-def select_families(families: dict[str, list[str]], requested: list[str]) -> dict[str, list[str]]:
-    """Families that a requested term names; terms that name none become families of their own."""
-    if not requested:
-        return dict(families)
-    out: dict[str, list[str]] = {}
-    for term in requested:
-        own = {k: v for k, v in families.items() if term.lower() == k.lower() or term.lower() in (a.lower() for a in v)}
-        out |= own or {term: [term]}
+    return [str(p).strip() for p in parts if str(p).strip()]
+
+
+def select_families(spark, families: list[Family], requested: str | list[str], profile: Profile = Profile()) -> list[Family]:
+    """Families that a requested term names by id, label or alias, compared by the profile; terms that are no alias become families of their own.
+
+    Nothing requested means all.  The vocabulary and the request are the
+    caller's own, of the driver.
+    """
+    wanted = parse_terms(requested)
+    if not wanted:
+        return list(families)
+    words = sorted({*wanted, *(w for f in families for w in (f.id, f.label, *f.aliases))})
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", apply_profile(F.col("w"), profile).alias("p")).collect()
+    plain = {r.w: r.p for r in rows}
+    asked = {plain[w] for w in wanted}
+    out = [f for f in families if asked & {plain[w] for w in (f.id, f.label, *f.aliases)}]
+    known, seen = {plain[a] for f in families for a in f.aliases}, {f.id for f in out}
+    for term in wanted:
+        name = re.sub("[^a-z0-9]+", "_", plain[term]).strip("_") or "term"
+        if plain[term] not in known and name not in seen:
+            seen.add(name)
+            out.append(Family(f"custom_{name}", (term,), (term,), term, "given by hand"))
     return out
 
 
@@ -47,16 +78,22 @@ def sequences(spark, families: dict[str, list[str]], profile: Profile = Profile(
     return split.select("family", F.size("t").alias("n"), F.array_join("t", " ").alias("term")).distinct()
 
 
+def _gram_hits(arrays: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, family, cnt) over rows (*keys, t): token sequences of a vocabulary (family, n, term), overlapping ones counted."""
+    sizes = [r.n for r in wanted.select("n").distinct().orderBy("n").collect()]
+    grams = lambda n: F.transform(
+        F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - (n - 1))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("t", i, n), " ").alias("term")),
+    )
+    each = arrays.select(*keys, F.explode(F.concat(*map(grams, sizes))).alias("g")).select(*keys, "g.n", "g.term") if sizes else arrays.select(*keys, F.lit(0).alias("n"), F.lit("").alias("term"))
+    # The vocabulary is what the caller passed in from the driver.
+    return each.join(F.broadcast(wanted), ["n", "term"]).groupBy(*keys, "family").agg(F.count("*").alias("cnt"))
+
+
 def family_hits(docs: DataFrame, families: dict[str, list[str]], profile: Profile = Profile()) -> DataFrame:
     """(id, family, cnt), overlapping matches and parts of longer ones counted."""
     wanted = sequences(docs.sparkSession, families, profile)
-    longest = max([len(a.split()) for v in families.values() for a in v], default=1)
-    arrays = docs.select("id", tokenize(F.col("text"), profile).alias("t"))
-    each = arrays.select("id", F.posexplode("t").alias("pos", "w"), "t")
-    sizes = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.array_join(F.slice("t", F.col("pos") + 1, F.lit(n)), " ").alias("term")) for n in range(1, longest + 1)]))
-    grams = each.select("id", "pos", F.size("t").alias("size"), sizes.alias("g")).where(F.col("pos") + F.col("g.n") <= F.col("size")).select("id", "g.n", "g.term")
-    # The vocabulary is what the caller passed in from the driver.
-    return grams.join(F.broadcast(wanted), ["n", "term"]).groupBy("id", "family").agg(F.count("*").alias("cnt"))
+    return _gram_hits(docs.select("id", tokenize(F.col("text"), profile).alias("t")), wanted, ["id"])
 
 
 def family_counts(docs: DataFrame, families: dict[str, list[str]], profile: Profile = Profile()) -> DataFrame:
@@ -77,3 +114,73 @@ def by_author(per_document: DataFrame) -> DataFrame:
 
 def totals(per_document: DataFrame) -> DataFrame:
     return per_document.groupBy("family").agg(F.sum("cnt").alias("total")).orderBy(F.desc("total"), "family")
+
+
+def highlight_forms(pairs: DataFrame, families: list[Family], profile: Profile = Profile()) -> DataFrame:
+    """(id, family, forms): for documents with parsed (id, form, lemma), the forms whose lemma a family has, longest first, then by code point."""
+    spark = pairs.sparkSession
+    rows = [(f.id, x) for f in families for x in f.lemmas]
+    lemmas = spark.createDataFrame(rows, "family string, text string").select("family", F.explode(tokenize(F.col("text"), profile)).alias("lemma")).distinct()
+    found = pairs.join(F.broadcast(lemmas), "lemma").select("id", "family", "form").distinct()
+    ordered = F.sort_array(F.collect_list(F.struct((-F.length("form")).alias("n"), "form")))
+    return found.groupBy("id", "family").agg(F.transform(ordered, lambda x: x["form"]).alias("forms"))
+
+
+def report(docs: DataFrame, layers: DataFrame, families: list[Family], profile: Profile = Profile(), contexts: int = 3) -> DataFrame:
+    """A row for each family and document, families by their total, most first, and else in the vocabulary's order.
+
+    ``layers`` is (id, source, tokens).  Columns: family, label, total, place
+    (the family's), id, title, author, source, terms (those counted there),
+    cnt, per_1000, contexts (of the aliases in the text).  Zero counts stay.
+    """
+    spark = docs.sparkSession
+    kinds = [(f.id, f.label or f.id, i, kind, list(f.terms(kind))) for i, f in enumerate(families) for kind in ("forms", "lemmas")]
+    named = spark.createDataFrame(kinds, "family string, label string, vocabulary int, kind string, terms array<string>")
+    wanted = named.select("family", "kind", F.explode("terms").alias("text")).select("family", "kind", tokenize(F.col("text"), profile).alias("t"))
+    wanted = wanted.where(F.size("t") > 0).select(F.concat_ws("\u0000", "kind", "family").alias("family"), F.size("t").alias("n"), F.array_join("t", " ").alias("term")).distinct()
+    kind = F.when(F.col("source").startswith("lemmas"), "lemmas").otherwise("forms")
+    rows = docs.select("id", "title", "author").join(layers.select("id", "source", F.col("tokens").alias("t")), "id").withColumn("kind", kind)
+    hits = _gram_hits(rows.select("id", "t"), wanted, ["id"]).select("id", F.split("family", "\u0000")[0].alias("kind"), F.split("family", "\u0000")[1].alias("family"), "cnt")
+    grid = rows.withColumn("n", F.size("t")).drop("t").join(F.broadcast(named), "kind").join(hits, ["id", "kind", "family"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    found = family_contexts(docs, {f.id: list(f.aliases) for f in families}, profile, limit=contexts)
+    found = found.groupBy("family", "id").agg(F.sort_array(F.collect_list(F.struct("idx", "left", "match", "right"))).alias("contexts"))
+    sums = grid.groupBy("family").agg(F.sum("cnt").alias("total"))
+    out = grid.join(F.broadcast(sums), "family").join(found, ["family", "id"], "left")
+    shown = ["family", "label", "total", "id", "title", "author", "source", "terms", "cnt", half_up(1000.0 * F.col("cnt") / F.greatest("n", F.lit(1)), 3).alias("per_1000"), "contexts"]
+    return out.orderBy(F.desc("total"), "vocabulary", "id").select(*shown)
+
+
+def author_report(per_document: DataFrame) -> DataFrame:
+    """(author, total, documents, families): authors by their total, first seen first among equals; families with their counts, zeros included."""
+    author = F.coalesce(F.nullif(F.col("author"), F.lit("")), F.lit("not stated"))
+    each = per_document.withColumn("author", author).groupBy("author", "family").agg(F.sum("cnt").alias("cnt"), F.min("id").alias("first"), F.count("*").alias("n"))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("order"), "family", "cnt")))
+    out = each.groupBy("author").agg(F.sum("cnt").alias("total"), F.max("n").alias("documents"), F.min("first").alias("first"), F.transform(listed, lambda x: F.struct(x["family"].alias("family"), x["cnt"].alias("cnt"))).alias("families"))
+    return out.orderBy(F.desc("total"), "first").select("author", "total", "documents", "families")
+
+
+def shown_families(totals_: DataFrame, first: int = 8) -> DataFrame:
+    """Families with hits; where none has any, the first ones."""
+    hit = totals_.where("total > 0")
+    return totals_.orderBy("family").limit(first) if hit.isEmpty() else hit
+
+
+def documents_with_hits(per_document: DataFrame, family: str) -> DataFrame:
+    return per_document.where((F.col("family") == family) & (F.col("cnt") > 0)).orderBy(F.desc("cnt"), "id")
+
+
+def top_total(totals_: DataFrame, k: int = 6) -> DataFrame:
+    """(total): the sum over the k families with most hits."""
+    return totals_.orderBy(F.desc("total"), "family").limit(k).agg(F.sum("total").alias("total"))
+
+
+def counted_terms(docs: DataFrame, families: dict[str, list[str]], profile: Profile = Profile(), k: int = 8) -> DataFrame:
+    """(family, term, cnt, rank): each family's k most counted token sequences in the corpus."""
+    from pyspark.sql import Window
+
+    wanted = sequences(docs.sparkSession, families, profile)
+    each = wanted.select(F.concat_ws("\u0000", "family", "term").alias("family"), "n", "term")
+    hits = _gram_hits(docs.select("id", tokenize(F.col("text"), profile).alias("t")), each, ["id"]).groupBy("family").agg(F.sum("cnt").alias("cnt"))
+    rows = hits.select(F.split("family", "\u0000")[0].alias("family"), F.split("family", "\u0000")[1].alias("term"), "cnt")
+    w = Window.partitionBy("family").orderBy(F.desc("cnt"), "term")  # a family has as many terms as the caller gave it
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

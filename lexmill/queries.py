@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import Profile, apply_profile, normalize_whitespace
-from .operators import conllu, concordance, corpus, diff, features, lexicon, passages, terms
+from .operators import conllu, concordance, corpus, diff, features, lexicon, passages, terms, views
 from .sources import exports
 
 #: A vocabulary for the test data: single words, a sequence, and one that never occurs.
@@ -44,6 +44,29 @@ def _spans(s: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.pmod("event_id", F.lit(500)).alias("document_id"), start.alias("start_offset"), (start + 5 + F.pmod("event_id", F.lit(40)).cast("int")).alias("end_offset"))
 
 
+#: Two groups of documents whose shared terms are asked for.
+GROUPS = ([1, 2, 3, 4, 5], [6, 7, 8, 9])
+VOCABULARY = [terms.Family(k, tuple(v), (), k.title()) for k, v in FAMILIES.items()]
+
+
+def _layers(s: SparkSession, d: str) -> DataFrame:
+    return conllu.token_layer(conllu.to_conllu(docs(s, d)), parser="rules")
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    return terms.report(docs(s, d), conllu.token_layer(docs(s, d), parser="forms"), VOCABULARY)
+
+
+def _nearest(s: SparkSession, d: str) -> DataFrame:
+    table = features.feature_table(docs(s, d))
+    near = features.pair_distances(table).orderBy("delta", "left_id", "right_id").limit(8)
+    return views.distance_table(near, features.contributors(table, near)).withColumn("features", F.array_join("features", " "))
+
+
+def _affinity(s: SparkSession, d: str) -> DataFrame:
+    return features.pair_distances(features.feature_table(docs(s, d), "content", 120))
+
+
 def _parsed(s: SparkSession, d: str) -> DataFrame:
     return conllu.read_conllu(conllu.to_conllu(docs(s, d)))
 
@@ -51,6 +74,23 @@ def _parsed(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "doc_search": lambda s, d: corpus.search(docs(s, d), SEARCH).select("id", "title"),
     "doc_request_order": lambda s, d: corpus.in_request_order(docs(s, d), ORDER).select("pos", "id", "title"),
+    "doc_by_ids": lambda s, d: corpus.by_ids(docs(s, d), ORDER).select("id", "title"),
+    "doc_warnings": lambda s, d: corpus.warnings(docs(s, d)),
+    "annotations_of_document": lambda s, d: corpus.annotations_of(_spans(s, d), 7),
+    "run_lookup": lambda s, d: corpus.run_by_id(_runs(s, d).withColumn("parameters", F.lit("{broken")), 11).select("id", "kind", F.array_join(F.transform("document_ids", lambda x: x.cast("string")), ",").alias("ids"), F.cardinality("parameters").cast("long").alias("n_parameters")),
+    "token_offsets": lambda s, d: lexicon.token_offsets(docs(s, d)).select("id", F.col("pos").cast("long").alias("pos"), "term", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")),
+    "frequency_rates": lambda s, d: lexicon.frequency_table(docs(s, d), content_only=True),
+    "lemma_layers": lambda s, d: _layers(s, d).select("id", "source", "coverage", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("md5")),
+    "form_lemma_pairs": lambda s, d: conllu.form_lemma_pairs(conllu.to_conllu(docs(s, d))).groupBy("form", "lemma").agg(F.count("*").alias("cnt")),
+    "term_report": lambda s, d: _report(s, d).select("family", "label", "total", "id", "title", "source", "cnt", "per_1000"),
+    "term_authors": lambda s, d: terms.author_report(_report(s, d)).select("author", "total", "documents", F.array_join(F.transform("families", lambda x: F.concat(x["family"], F.lit("="), x["cnt"])), ",").alias("families")),
+    "term_top_total": lambda s, d: terms.top_total(terms.totals(terms.family_counts(docs(s, d), FAMILIES)), 2),
+    "term_counted": lambda s, d: terms.counted_terms(docs(s, d), FAMILIES, k=2),
+    "nearest_pairs_top8": _nearest,
+    "affinity_top8": lambda s, d: views.affinity_table(_affinity(s, d)),
+    "affinity_close": lambda s, d: views.close_pairs(_affinity(s, d), 0.05).select("left_id", "right_id", "cosine"),
+    "shared_cluster_terms": lambda s, d: features.shared_terms(lexicon.content(lexicon.counts(lexicon.tokens(docs(s, d)))), *GROUPS),
+    "corpus_text": lambda s, d: exports.corpus_text(docs(s, d).where(F.col("id").isin(ORDER))).select(F.md5("text").alias("md5")),
     "doc_serialized": lambda s, d: corpus.serialized(docs(s, d)),
     "text_normalized": lambda s, d: docs(s, d).select("id", F.md5(apply_profile(F.col("text"), Profile(j_to_i=True, v_to_u=True))).alias("md5")),
     "token_frequency_top18": lambda s, d: lexicon.top_per_document(lexicon.counts(lexicon.tokens(docs(s, d)))),
@@ -77,7 +117,7 @@ QUERIES: dict[str, Query] = {
     "pca_loadings": lambda s, d: features.pca(features.feature_table(docs(s, d)))[1],
     "cluster_merges": lambda s, d: features.clusters(features.feature_table(docs(s, d), "content", 120)),
     "tfidf_terms": lambda s, d: passages.tfidf(passages.passage_terms(docs(s, d))).select("id", F.col("passage_idx").cast("long").alias("passage_idx"), "term", "tf", "df", (F.floor(F.col("weight") * 1e4 + 0.5) / 1e4).alias("weight")),
-    "similar_passages_top30": lambda s, d: passages.similar(docs(s, d)),
+    "similar_passages_top30": lambda s, d: passages.similar(docs(s, d)).select("id", F.col("passage_idx").cast("long").alias("passage_idx"), "id2", F.col("idx2").cast("long").alias("idx2"), "similarity", F.array_join("shared_terms", " ").alias("shared_terms")),
     "text_diff": lambda s, d: diff.diff(diff.nearest_copies(docs(s, d))),
     "rule_lemmas": lambda s, d: conllu.parse_tokens(docs(s, d)).groupBy("lemma").agg(F.count("*").alias("cnt")),
     "conllu_tokens": lambda s, d: _parsed(s, d).select("id", F.col("token_id").cast("long").alias("token_id"), "form", "lemma", F.col("head").cast("long").alias("head"), "relation"),
@@ -123,7 +163,14 @@ _FAM = f"""{_ARR}, grams AS (SELECT id, n, array_to_string(t[i:i + n - 1], ' ')
     fam AS (SELECT f.family, a.id, a.author, coalesce(h.cnt, 0) AS cnt, floor(1000.0::DOUBLE * coalesce(h.cnt, 0) / greatest(len(a.t), 1) * 1000 + 0.5) / 1000 AS per_1000
         FROM arr a CROSS JOIN (SELECT DISTINCT family FROM {_FAMILY}) f LEFT JOIN hits h ON h.id = a.id AND h.family = f.family)"""
 _Z = _CNT + ", " + _feature_sql("cnt", "true", "1000.0::DOUBLE", 100) + ", z AS (SELECT *, CASE WHEN stddev_pop(freq) OVER w > 1e-12 THEN (freq - avg(freq) OVER w) / stddev_pop(freq) OVER w ELSE 0 END AS z FROM feat WINDOW w AS (PARTITION BY feature))"
-_LEMMA = "replace(replace(lower(form), 'ß', 'ss'), 'j', 'i')"
+_PAIRS = """pairs AS (SELECT a.id AS left_id, b.id AS right_id, floor(sum(floor(abs(a.z - b.z) * 1e4 + 0.5)) / count(*) + 0.5) / 1e4 AS delta,
+        floor((CASE WHEN sum(a.freq * a.freq) > 0 AND sum(b.freq * b.freq) > 0 THEN 1 - sum(a.freq * b.freq) / (sqrt(sum(a.freq * a.freq)) * sqrt(sum(b.freq * b.freq))) ELSE 1 END) * 1e4 + 0.5) / 1e4 AS cosine
+        FROM z a JOIN z b ON a.feature = b.feature AND a.id < b.id GROUP BY a.id, b.id)"""
+_AFFINITY = f"{_CNT}, con AS (SELECT * FROM cnt WHERE length(term) > 2 AND term NOT IN {_STOP}), " + _feature_sql("con", "true", "1000.0::DOUBLE", 120) + ", z AS (SELECT *, 0.0::DOUBLE AS z FROM feat), " + _PAIRS
+_TFIDF = f"""{_PASSAGES}, e AS (SELECT id, generate_subscripts(p, 1) - 1 AS passage_idx, unnest(p) AS s FROM psg),
+    w AS (SELECT id, passage_idx, unnest(regexp_extract_all(replace(lower(s), 'ß', 'ss'), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS term FROM e),
+    tf AS (SELECT id, passage_idx, term, count(*) AS tf FROM w WHERE length(term) > 2 AND term NOT IN {_STOP} GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT id, passage_idx FROM tf))"""
 _LEMMA = (
     "CASE " + " ".join(f"WHEN v = '{k}' THEN '{x}'" for k, x in conllu.LEMMAS.items())
     + "".join(f" WHEN length(v) > 6 AND v LIKE '%{e}' THEN left(v, length(v) - {len(e)}) || '{r}'" for e, r in conllu.ENDINGS)
@@ -139,7 +186,7 @@ _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;')
 SQL: dict[str, str] = {
     "doc_search": f"WITH {_DOCS} SELECT id, title FROM docs WHERE contains(lower(concat_ws(' ', title, author, genre, '')), '{SEARCH}')",
     "doc_request_order": f"WITH {_DOCS} SELECT w.pos, d.id, d.title FROM docs d JOIN (VALUES " + ", ".join(f"({i}, {x})" for i, x in enumerate(ORDER)) + ") AS w(pos, id) ON w.id = d.id",
-    "doc_serialized": f"WITH {_ARR}, {_DOCS} SELECT d.id, d.title, d.author, d.genre, len(a.t) AS token_count, md5({_WS.format('d.text')}) AS text_md5 FROM docs d JOIN arr a ON a.id = d.id",
+    "doc_serialized": f"WITH {_ARR}, {_DOCS} SELECT d.id, d.title, d.author, d.genre, len(a.t) AS token_count, false AS has_syntax, md5({_WS.format('d.text')}) AS text_md5 FROM docs d JOIN arr a ON a.id = d.id",
     "text_normalized": f"SELECT doc_id AS id, md5({_WS.format('translate(' + _FOLD + ', ' + chr(39) + 'jJvV' + chr(39) + ', ' + chr(39) + 'iIuU' + chr(39) + ')')}) AS md5 FROM documents",
     "token_frequency_top18": f"WITH {_CNT} {_TOP.format('cnt', 18)}",
     "content_frequency_top18": f"WITH {_CNT}, c AS (SELECT * FROM cnt WHERE length(term) > 2 AND term NOT IN {_STOP}) {_TOP.format('c', 18)}",
@@ -171,21 +218,72 @@ SQL: dict[str, str] = {
     "feature_table_char3": f"WITH {_TOK}{_GRAMS}, {_feature_sql('gcnt', 'true', '10000.0::DOUBLE', 100)} SELECT id, feature, feature_rank, floor(freq * 1e6 + 0.5) / 1e6 AS freq FROM feat",
     "feature_zscores": f"WITH {_Z} SELECT id, feature, floor(z * 1e4 + 0.5) / 1e4 AS z FROM z",
     "document_profiles": f"WITH {_CNT}, {_feature_sql('cnt', 'true', '1000.0::DOUBLE', 100)} SELECT id, feature, value, rank FROM (SELECT id, feature, floor(freq * 1000 + 0.5) / 1000 AS value, row_number() OVER (PARTITION BY id ORDER BY floor(freq * 1000 + 0.5) / 1000 DESC, feature_rank) AS rank FROM feat WHERE freq > 0) WHERE rank <= 10",
-    "tfidf_terms": f"""WITH {_PASSAGES}, e AS (SELECT id, generate_subscripts(p, 1) - 1 AS passage_idx, unnest(p) AS s FROM psg),
-        w AS (SELECT id, passage_idx, unnest(regexp_extract_all(replace(lower(s), 'ß', 'ss'), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS term FROM e),
-        tf AS (SELECT id, passage_idx, term, count(*) AS tf FROM w WHERE length(term) > 2 AND term NOT IN {_STOP} GROUP BY ALL),
-        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT id, passage_idx FROM tf))
-        SELECT tf.id, tf.passage_idx, tf.term, tf.tf, df.df, floor(tf.tf * (ln((n.n + 1) / (df.df + 1)) + 1) * 1e4 + 0.5) / 1e4 AS weight FROM tf JOIN df USING (term), n""",
+    "tfidf_terms": f"WITH {_TFIDF} SELECT tf.id, tf.passage_idx, tf.term, tf.tf, df.df, floor(tf.tf * (ln((n.n + 1) / (df.df + 1)) + 1) * 1e4 + 0.5) / 1e4 AS weight FROM tf JOIN df USING (term), n",
     "rule_lemmas": f"WITH {_PARSED} SELECT lemma, count(*) AS cnt FROM parsed GROUP BY lemma",
     "conllu_tokens": f"WITH {_PARSED} SELECT id, token_id, form, lemma, head, relation FROM parsed",
     "head_lookup": f"WITH {_PARSED} SELECT a.id, a.token_id, a.form, b.form AS head_form FROM parsed a LEFT JOIN parsed b ON b.id = a.id AND b.token_id = a.head",
     "sentence_overview": f"WITH {_PARSED} SELECT id, 'root' AS bucket, form AS forms FROM parsed WHERE token_id = 1",
-    "tei_export": f"""WITH {_DOCS}, n AS (SELECT *, {_WS.format('text')} AS body FROM docs)
-        SELECT id, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>' || {_ESC.format('title')} || '</title><author>' ||
-            CASE WHEN coalesce(author, '') = '' THEN 'ignoto' ELSE {_ESC.format('author')} END || '</author></titleStmt></fileDesc></teiHeader><text><body>' || chr(10) ||
-            CASE WHEN body = '' THEN '' ELSE '<p>' || replace({_ESC.format('body')}, chr(10) || chr(10), '</p>' || chr(10) || '<p>') || '</p>' END || chr(10) || '</body></text></TEI>' || chr(10)) AS md5 FROM n""",
+    "tei_export": rf"""WITH {_DOCS}, n AS (SELECT *, list_transform(list_filter(string_split_regex(text, '\n\s*\n'), lambda p: regexp_matches(p, '\S')), lambda p: '      <p>' || {_ESC.format('p')} || '</p>') AS body FROM docs)
+        SELECT id, md5(concat('<?xml version="1.0" encoding="UTF-8"?>', chr(10), '<TEI xmlns="http://www.tei-c.org/ns/1.0">', chr(10), '  <teiHeader>', chr(10), '    <fileDesc>', chr(10), '      <titleStmt>', chr(10),
+            '        <title>', {_ESC.format('title')}, '</title>', chr(10), '        <author>', CASE WHEN coalesce(author, '') = '' THEN 'ignoto' ELSE {_ESC.format('author')} END, '</author>', chr(10), '      </titleStmt>', chr(10),
+            '      <publicationStmt>', chr(10), '        <p>{exports.PUBLICATION}</p>', chr(10), '      </publicationStmt>', chr(10), '      <sourceDesc>', chr(10), '        <msDesc>', chr(10), '          <msIdentifier>', chr(10),
+            '            <settlement></settlement>', chr(10), '            <idno></idno>', chr(10), '          </msIdentifier>', chr(10), '          <history><origin><origDate></origDate></origin></history>', chr(10),
+            '        </msDesc>', chr(10), '      </sourceDesc>', chr(10), '    </fileDesc>', chr(10), '    <profileDesc>', chr(10), '      <textClass><keywords><term>', {_ESC.format("coalesce(genre, '')")}, '</term></keywords></textClass>', chr(10),
+            '    </profileDesc>', chr(10), '  </teiHeader>', chr(10), '  <text>', chr(10), '    <body>', chr(10), array_to_string(body, chr(10)), chr(10), '    </body>', chr(10), '  </text>', chr(10), '</TEI>', chr(10))) AS md5 FROM n""",
     "text_export": f"""WITH {_DOCS} SELECT id, 'doc_' || id || '.txt' AS file_name,
-        md5('Title: ' || title || chr(10) || 'Author: ' || coalesce(author, '') || chr(10) || 'Genre: ' || coalesce(genre, '') || chr(10) || chr(10) || text) AS md5 FROM docs""",
+        md5('Title: ' || title || chr(10) || 'Author: ' || coalesce(nullif(author, ''), 'attribuzione non indicata') || chr(10) || 'Date: non indicata' || chr(10) || 'Genre: ' || coalesce(nullif(genre, ''), 'non indicato') || chr(10) || chr(10) || {_WS.format('text')}) AS md5 FROM docs""",
+    "corpus_text": f"""WITH {_DOCS} SELECT md5(string_agg('Title: ' || title || chr(10) || 'Author: ' || coalesce(nullif(author, ''), 'attribuzione non indicata') || chr(10) || chr(10) || {_WS.format('text')}, chr(10) || chr(10) || '-----' || chr(10) || chr(10) ORDER BY id)) AS md5
+        FROM docs WHERE id IN ({', '.join(map(str, ORDER))})""",
+    "doc_by_ids": f"WITH {_DOCS} SELECT id, title FROM docs WHERE id IN ({', '.join(map(str, ORDER))})",
+    "doc_warnings": f"""WITH {_ARR}, {_DOCS} SELECT * FROM (SELECT 'short' AS warning, (SELECT count(*) FROM arr WHERE len(t) < 1000) AS detail UNION ALL
+        SELECT 'genres', (SELECT count(DISTINCT nullif(genre, '')) FROM docs)) WHERE detail > CASE warning WHEN 'short' THEN 0 ELSE 1 END""",
+    "annotations_of_document": "SELECT event_id AS id, event_id % 500 AS document_id, (event_id * 31 % 997)::INT AS start_offset, (event_id * 31 % 997 + 5 + event_id % 40)::INT AS end_offset FROM events WHERE event_id % 500 = 7",
+    "annotation_spans": """WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY start_offset, end_offset, id) AS k FROM
+            (SELECT event_id AS id, event_id % 500 AS document_id, (event_id * 31 % 997)::INT AS start_offset, (event_id * 31 % 997 + 5 + event_id % 40)::INT AS end_offset FROM events)),
+        walk AS (SELECT *, true AS kept, end_offset AS upto FROM s WHERE k = 1 UNION ALL
+            SELECT s.*, s.start_offset >= w.upto, CASE WHEN s.start_offset >= w.upto THEN s.end_offset ELSE w.upto END FROM walk w JOIN s ON s.document_id = w.document_id AND s.k = w.k + 1)
+        SELECT document_id, start_offset, end_offset, id FROM walk WHERE kept""",
+    "run_lookup": "SELECT event_id AS id, event_type AS kind, concat_ws(',', event_id % 200, event_id * 7 % 200, event_id * 13 % 200) AS ids, 0::BIGINT AS n_parameters FROM events WHERE event_id = 11",
+    "kwic": f"""WITH {_DOCS}, p AS (SELECT id, text, string_split_regex(text, '(?i){KWIC_QUERY}') AS p FROM docs),
+        h AS (SELECT id, text, list_sum(list_transform(p[1:i], lambda x: length(x)))::INT + (i - 1)::INT * {len(KWIC_QUERY)} AS start FROM (SELECT id, text, p, unnest(generate_series(1, len(p) - 1)) AS i FROM p))
+        SELECT id, start, substr(text, greatest(start - 72, 0) + 1, least(start, 72)) AS "left", substr(text, start + 1, {len(KWIC_QUERY)}) AS "match", substr(text, start + {len(KWIC_QUERY) + 1}, 72) AS "right" FROM h ORDER BY id, start LIMIT 100""",
+    "token_offsets": rf"""WITH {_ARR}, gaps AS (SELECT doc_id AS id, string_split_regex({_FOLD}, '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS g FROM documents),
+        e AS (SELECT a.id, i - 1 AS pos, t[i] AS term, length(g[i]) AS gap FROM (SELECT arr.id, t, g, unnest(generate_series(1, len(t))) AS i FROM arr JOIN gaps USING (id)) a),
+        f AS (SELECT *, sum(gap + length(term)) OVER (PARTITION BY id ORDER BY pos)::BIGINT AS "end" FROM e)
+        SELECT id, pos, term, "end" - length(term) AS start, "end" FROM f""",
+    "frequency_rates": f"""WITH {_CNT}, n AS (SELECT id, sum(cnt) AS n FROM cnt GROUP BY id), c AS (SELECT * FROM cnt WHERE length(term) > 2 AND term NOT IN {_STOP}), top AS ({_TOP.format('c', 18)})
+        SELECT t.*, floor(1000.0::DOUBLE * cnt / n * 1000 + 0.5) / 1000 AS per_1000 FROM top t JOIN n USING (id)""",
+    "lemma_layers": f"""WITH {_PARSED}, l AS (SELECT id, count(*) AS n, string_agg(lemma, ' ' ORDER BY token_id) AS s FROM parsed GROUP BY id)
+        SELECT f.id, CASE WHEN n IS NULL THEN 'forms' ELSE 'lemmas_rules' END AS source, CASE WHEN n IS NULL THEN 'whole text' ELSE 'complete' END AS coverage, coalesce(n, 0) AS n, md5(coalesce(s, '')) AS md5 FROM forms f LEFT JOIN l ON l.id = f.id""",
+    "form_lemma_pairs": f"WITH {_PARSED} SELECT replace(lower(form), 'ß', 'ss') AS form, lemma, count(*) AS cnt FROM parsed GROUP BY 1, 2",
+    "term_report": f"""WITH {_FAM}, tot AS (SELECT family, sum(cnt)::BIGINT AS total FROM fam GROUP BY family)
+        SELECT family, upper(family[1]) || family[2:] AS label, total, id, 'doc ' || id AS title, 'forms' AS source, cnt, per_1000 FROM fam JOIN tot USING (family)""",
+    "term_authors": f"""WITH {_FAM}, e AS (SELECT coalesce(nullif(author, ''), 'not stated') AS author, family, sum(cnt)::BIGINT AS cnt, count(*) AS n FROM fam GROUP BY 1, 2)
+        SELECT author, sum(cnt)::BIGINT AS total, max(n) AS documents, string_agg(family || '=' || cnt, ',' ORDER BY cnt DESC, family) AS families FROM e GROUP BY author""",
+    "term_top_total": f"WITH {_FAM} SELECT sum(cnt)::BIGINT AS total FROM (SELECT sum(cnt) AS cnt FROM fam GROUP BY family ORDER BY cnt DESC, family LIMIT 2)",
+    "term_counted": f"""{'WITH ' + _FAM}, each AS (SELECT v.family, g.term, count(*) AS cnt FROM grams g JOIN {_FAMILY} USING (n, term) GROUP BY ALL)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY cnt DESC, term) AS rank FROM each) WHERE rank <= 2""",
+    "delta_cosine_pairs": f"WITH {_Z}, {_PAIRS} SELECT * FROM pairs",
+    "nearest_pairs_top8": f"""WITH {_Z}, {_PAIRS}, near AS (SELECT * FROM pairs ORDER BY delta, left_id, right_id LIMIT 8),
+        c AS (SELECT n.*, a.feature, row_number() OVER (PARTITION BY n.left_id, n.right_id ORDER BY floor(abs(a.z - b.z) * 1e4 + 0.5) DESC, a.feature_rank) AS r
+            FROM near n JOIN z a ON a.id = n.left_id JOIN z b ON b.id = n.right_id AND b.feature = a.feature)
+        SELECT left_id, right_id, delta, cosine, string_agg(feature, ' ' ORDER BY r) AS features FROM c WHERE r <= 4 GROUP BY ALL""",
+    "affinity_pairs": f"WITH {_AFFINITY} SELECT left_id, right_id, cosine, greatest(0, 1 - cosine) AS affinity FROM pairs",
+    "affinity_top8": f"WITH {_AFFINITY} SELECT left_id, right_id, cosine, floor(1000 * greatest(0, 1 - cosine) + 0.5) / 10 AS similarity FROM pairs ORDER BY cosine, left_id, right_id LIMIT 8",
+    "affinity_close": f"WITH {_AFFINITY} SELECT left_id, right_id, cosine FROM pairs WHERE cosine <= 0.05",
+    "auto_feature_count": f"""WITH {_CNT}, c AS (SELECT * FROM cnt WHERE length(term) > 2 AND term NOT IN {_STOP}), size AS (SELECT a.id, coalesce(sum(c.cnt), 0) AS size FROM arr a LEFT JOIN c ON c.id = a.id GROUP BY a.id),
+        m AS (SELECT size FROM size ORDER BY size, id LIMIT 1 OFFSET (SELECT count(*) // 2 FROM size)), v AS (SELECT count(DISTINCT term) AS v FROM c)
+        SELECT greatest(20, least(least(greatest(40, least(round_even(size * 0.12::DOUBLE, 0), 220)), v), 500))::BIGINT AS features FROM m, v""",
+    "shared_cluster_terms": f"""WITH {_CNT}, c AS (SELECT * FROM cnt WHERE length(term) > 2 AND term NOT IN {_STOP}),
+        a AS (SELECT term, sum(cnt) AS n FROM c WHERE id IN {tuple(GROUPS[0])} GROUP BY term), b AS (SELECT term, sum(cnt) AS n FROM c WHERE id IN {tuple(GROUPS[1])} GROUP BY term)
+        SELECT term, least(a.n, b.n)::BIGINT AS cnt FROM a JOIN b USING (term) ORDER BY cnt DESC, term LIMIT 8""",
+    "similar_passages_top30": f"""WITH {_TFIDF}, u AS (SELECT id, passage_idx, term, w / sqrt(sum(w * w) OVER (PARTITION BY id, passage_idx)) AS u FROM
+            (SELECT tf.*, tf.tf * (ln((n.n + 1) / (df.df + 1)) + 1) AS w FROM tf JOIN df USING (term), n)),
+        s AS (SELECT a.id, a.passage_idx, b.id AS id2, b.passage_idx AS idx2, floor(sum(a.u * b.u) * 1e4 + 0.5) / 1e4 AS similarity FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY ALL HAVING sum(a.u * b.u) >= 0.08),
+        top AS (SELECT * FROM s ORDER BY similarity DESC, id, passage_idx, id2, idx2 LIMIT 30),
+        x AS (SELECT top.*, a.term, row_number() OVER (PARTITION BY top.id, top.passage_idx, top.id2, top.idx2 ORDER BY a.u * b.u DESC, a.term) AS r FROM top
+            JOIN u a ON a.id = top.id AND a.passage_idx = top.passage_idx JOIN u b ON b.id = top.id2 AND b.passage_idx = top.idx2 AND b.term = a.term)
+        SELECT id, passage_idx, id2, idx2, similarity, string_agg(term, ' ' ORDER BY r) AS shared_terms FROM x WHERE r <= 10 GROUP BY ALL""",
     "run_history": f"""WITH {_DOCS}, top AS (SELECT event_id AS id, event_type AS kind, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM events ORDER BY created_at DESC, id DESC LIMIT 50)
         SELECT t.id AS run_id, t.kind, t.created_at, (SELECT string_agg(d.title, ',' ORDER BY k.pos) FROM (VALUES (0, 1), (1, 7), (2, 13)) AS k(pos, m) JOIN docs d ON d.id = (t.id * k.m) % 200) AS titles FROM top t""",
     "corpus_audit": f"""WITH {_ARR}, {_DOCS} SELECT d.genre, count(*) AS documents, count(DISTINCT d.author) AS authors, count(*) FILTER (len(a.t) < 1000) AS short_documents,
