@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Profile, apply_profile, half_up, tokenize
@@ -81,10 +81,14 @@ def sequences(spark, families: dict[str, list[str]], profile: Profile = Profile(
 def _gram_hits(arrays: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, family, cnt) over rows (*keys, t): token sequences of a vocabulary (family, n, term), overlapping ones counted."""
     sizes = [r.n for r in wanted.select("n").distinct().orderBy("n").collect()]
-    grams = lambda n: F.transform(
-        F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - (n - 1))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("t", i, n), " ").alias("term")),
-    )
+
+    def grams(n: int) -> Column:
+        # Arrays side by side: a lambda that named the tokens would make them anew for each of its elements.
+        out = F.col("t")
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice("t", F.lit(k + 1), F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.transform(out, lambda x: F.struct(F.lit(n).alias("n"), x.alias("term")))
+
     each = arrays.select(*keys, F.explode(F.concat(*map(grams, sizes))).alias("g")).select(*keys, "g.n", "g.term") if sizes else arrays.select(*keys, F.lit(0).alias("n"), F.lit("").alias("term"))
     # The vocabulary is what the caller passed in from the driver.
     return each.join(F.broadcast(wanted), ["n", "term"]).groupBy(*keys, "family").agg(F.count("*").alias("cnt"))
