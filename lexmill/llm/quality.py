@@ -29,6 +29,8 @@ CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": "[#*$%&|<>]", "mark": "
 _POOLED = "\x00"
 #: Buckets by hash that a language's common words are looked up in; most hold none or one.
 BUCKETS = 256
+#: Slots of tasks that a language's words are ranked in before they are ranked together.
+SLOTS = 32
 
 
 def _repeated_words(n: int = WINDOW) -> list:
@@ -135,9 +137,16 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> Da
     classes = kept.select("lang", *names).unionByName(pooled)
     classes = classes.withColumn("total", sum((F.col(x) for x in names), F.lit(0))).select("lang", _shares(F.array(*names), F.col("total")).alias("class_shares"))
 
-    by_lang = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = words.where(F.col("lang") != _POOLED).withColumn("rank", F.row_number().over(by_lang)).where(F.col("rank") <= common_words).drop("rank")
-    all_words = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(common_words)
+    # Ranked within slots of tasks first, so that a language's last ranking has SLOTS * common_words rows at most, however many tasks there are.
+    top = words.where(F.col("lang") != _POOLED).withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(SLOTS)))
+    for keys in (["lang", "slot"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
+        top = top.withColumn("rank", rank).where(F.col("rank") <= common_words)
+    top = materialise(top.drop("slot"), "top")
+    # A word is at least as frequent in all languages as in one, so no word of the pooled list is rarer than a language's last one.
+    least = top.where(F.col("rank") == common_words).agg(F.max("n")).first()[0] or 0
+    all_words = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(common_words)
+    top = top.drop("rank")
     top = top.unionByName(all_words.select(F.lit(_POOLED).alias("lang"), "word", "n"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("lang") != _POOLED)
     totals = totals.unionByName(words.agg(F.sum("n").alias("total")).select(F.lit(_POOLED).alias("lang"), "total"))

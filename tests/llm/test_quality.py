@@ -1,6 +1,7 @@
 """Quality verdicts where the test data has no case: languages beyond ASCII, texts without common words."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -39,3 +40,18 @@ def test_texts_without_the_common_words_of_their_language_go(spark):
     assert not any(found[d].kept for d, _, _ in gibberish)
     # Without a language there are no words that a text should have.
     assert all(found[d + 1000].kept for d, _, _ in gibberish)
+
+
+def test_common_words_are_the_most_frequent_ones(spark):
+    """Those of each language and of all rows, ties by code point; also where no language has enough words, or there is none."""
+    rng = random.Random(9)
+    known = [f"w{i:03}" for i in range(90)]
+    texts = [" ".join(rng.choices(known, [1 / (i // 4 + 2) for i in range(90)], k=40)) for _ in range(200)]
+    for langs in (["en", "fr", "de", None], ["en", None], [None]):
+        rows = [(i, t, langs[i % len(langs)]) for i, t in enumerate(texts)] + [(999, "one two", "xx" if len(langs) > 1 else None)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+        found = {r.lang: r.common for r in quality.language_references(frame).collect()}
+        for lang in {x for _, _, x in rows}:
+            counts = Counter(w for _, t, x in rows if lang is None or x == lang for w in t.split())
+            most = sorted(counts, key=lambda w: (-counts[w], w))[: quality.COMMON_WORDS]
+            assert sorted(found[quality._POOLED if lang is None else lang]) == sorted(most)
