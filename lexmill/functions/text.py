@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-import unicodedata
 from dataclasses import dataclass
-from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Letters and numerics that are no decimal digits.
 TOKEN = r"[\p{L}\p{Nl}\p{No}]+"
@@ -57,49 +52,20 @@ def normalize_whitespace(text: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
 
-@cache
-def _unusual() -> str:
-    """A class of the characters that composition or case folding treat otherwise than lower case and sharp s do."""
-    odd = {"\u03a3", "\u0130", *map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])}
-    for c in map(chr, range(0x80, sys.maxunicode + 1)):
-        if not "\ud800" <= c <= "\udfff" and c != "ß" and (c.casefold() != c.lower() or unicodedata.normalize("NFC", c) != c):
-            odd.add(c)
-    spans: list[list[int]] = []
-    for n in sorted(map(ord, odd)):
-        if spans and spans[-1][1] == n - 1:
-            spans[-1][1] = n
-        else:
-            spans.append([n, n])
-    return r"[\p{M}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
-
-
-@F.pandas_udf(StringType())  # an object, as a string needs a session when this is imported
-def _fold_exactly(text: pd.Series, lower: pd.Series, strip: pd.Series) -> pd.Series:
-    def one(t: str | None, low: bool, bare: bool) -> str | None:
-        if t is None:
-            return None
-        t = unicodedata.normalize("NFC", t)
-        t = t.casefold() if low else t
-        return "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") if bare else t
-
-    return pd.Series([one(*x) for x in zip(text, lower, strip, strict=True)])
-
-
-def fold_plain(text: Column) -> Column:
-    """Lower case and sharp s as ss: what folding is for texts without unusual characters."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+def _icu(kind: str, method: str, text: Column, flag: bool) -> Column:
+    """A string function of the ICU library, which Spark itself brings along, called in the JVM."""
+    return F.reflect(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), text, F.lit(flag))
 
 
 def fold(text: Column, profile: Profile = Profile()) -> Column:
-    """Composition, case and spelling by the profile.
-
-    Only texts with a character that needs Unicode's full rules go through
-    Python, batch by batch; of all others null goes there.
-    """
+    """Composition, case and spelling by the profile, by Unicode's full rules; ASCII texts take the short way."""
     text = F.coalesce(text, F.lit(""))
-    odd = text.rlike(r"[^\x00-\x7F]" if profile.strip_marks else _unusual())
-    exact = _fold_exactly(F.when(odd, text), F.lit(profile.lower), F.lit(profile.strip_marks))
-    text = F.coalesce(exact, fold_plain(text) if profile.lower else text)
+    ascii_only = F.octet_length(text) == F.length(text)
+    composed = _icu("text.Normalizer", "compose", text, False)
+    full = _icu("lang.UCharacter", "foldCase", composed, True) if profile.lower else composed
+    if profile.strip_marks:
+        full = F.regexp_replace(_icu("text.Normalizer", "decompose", full, False), r"\p{Mn}", "")
+    text = F.when(ascii_only, F.lower(text) if profile.lower else text).otherwise(full)
     if profile.j_to_i:
         text = F.translate(text, "jJ", "iI")
     return F.translate(text, "vV", "uU") if profile.v_to_u else text

@@ -68,40 +68,40 @@ def passage_rows(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.posexplode(passages(F.col("text"))).alias("passage_idx", "passage"))
 
 
-def moving_type_ratio(toks: DataFrame, sizes: DataFrame, window: int = 50) -> DataFrame:
-    """(id, mattr): the mean share of types over all windows of so many tokens.
+def moving_type_ratio(places: Column, n: Column, window: int = 50) -> Column:
+    """The mean share of types over all windows of so many tokens; ``places`` are (term, pos) sorted, n their number.
 
     A token is new in the windows that hold it but not its previous occurrence;
-    these begin within an interval, so one lag and one sum do it.
+    these begin within an interval.  Sorted, the previous occurrence is the
+    neighbour before, so one sort within the row does it.  Needs ``places`` as
+    a column, since it is laid beside itself.
     """
-    previous = F.coalesce(F.lag("pos").over(Window.partitionBy("id", "term").orderBy("pos")), F.lit(-1))
-    each = toks.withColumn("previous", previous).join(sizes.select("id", "n"), "id")
-    low = F.greatest(F.col("previous") + 1, F.col("pos") - (window - 1), F.lit(0))
-    high = F.least(F.col("pos"), F.col("n") - window)
-    new = F.sum(F.greatest(F.lit(0), high - low + 1))
-    types = F.count_if(F.col("previous") == -1)
-    ratio = F.when(F.first("n") <= window, types / F.first("n")).otherwise(new / ((F.first("n") - window + 1) * float(window)))
-    return each.groupBy("id").agg(ratio.alias("mattr"))
+    shifted = F.concat(F.array(F.lit(None).cast("struct<term:string,pos:int>")), places)
+    # Of a pair only the gap's end is kept: the place after the previous occurrence, 0 where there is none.
+    after = F.zip_with(places, F.slice(shifted, F.lit(1), F.greatest(F.size(places), F.lit(1))), lambda x, y: F.struct(x["pos"].alias("pos"), F.when(x["term"] == y["term"], y["pos"] + 1).otherwise(0).alias("free")))
+    windows = lambda x: F.greatest(F.lit(0), F.least(x["pos"], n - window) - F.greatest(x["free"], x["pos"] - (window - 1)) + 1)
+    new = F.aggregate(after, F.lit(0).cast("long"), lambda total, x: total + windows(x))
+    return new / ((n - window + 1) * float(window))
 
 
 def summary(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """One row a document: counts, mean lengths, type ratios and warnings."""
-    toks = tokens(docs, profile)
-    n_passages = by_document(docs).select("id", F.size(passages(F.col("text"))).cast("long").alias("sentence_count"), F.size(tokenize(F.col("text"), profile)).alias("n"))
-    figures = toks.groupBy("id", "term").agg(F.count("*").alias("cnt"))
-    figures = figures.groupBy("id").agg(F.count("*").alias("type_count"), F.sum(F.col("cnt") * F.length("term")).alias("letters"))
-    both = n_passages.join(figures, "id", "left").join(moving_type_ratio(toks, n_passages), "id", "left")
+    """One row a document: counts, mean lengths, type ratios and warnings. All of it comes from the row itself."""
+    rows = docs.select("id", F.size(passages(F.col("text"))).cast("long").alias("sentence_count"), tokenize(F.col("text"), profile).alias("t"))
+    placed = F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("pos")))
+    letters = F.length(F.array_join("t", "")).cast("long")
+    rows = rows.select("id", "sentence_count", F.size("t").alias("n"), letters.alias("letters"), F.size(F.array_distinct("t")).cast("long").alias("type_count"), F.array_sort(placed).alias("places"))
+    mattr = F.when(F.col("n") > 50, moving_type_ratio(F.col("places"), F.col("n")))
     n = F.col("n").cast("double")
     ratio = lambda a, b, d: F.when(b > 0, half_up(a / b, d)).otherwise(0.0)
-    return both.select(
+    return rows.select(
         "id",
         F.col("n").cast("long").alias("token_count"),
-        F.coalesce("type_count", F.lit(0)).alias("type_count"),
+        "type_count",
         "sentence_count",
         ratio(F.col("letters"), n, 2).alias("average_word_length"),
         ratio(n, F.col("sentence_count"), 2).alias("average_sentence_length"),
         ratio(F.col("type_count"), n, 4).alias("ttr"),
-        half_up(F.coalesce("mattr", F.lit(0.0)), 4).alias("mattr_50"),
+        half_up(F.coalesce(mattr, F.when(F.col("n") > 0, F.col("type_count") / n), F.lit(0.0)), 4).alias("mattr_50"),
         (F.col("n") < 1000).alias("few_tokens"),
         (F.col("sentence_count") < 3).alias("few_passages"),
     )
@@ -112,21 +112,28 @@ def log_dice(c: Column, total: Column) -> Column:
 
 
 def collocations(docs: DataFrame, k: int = 15, window: int = 5, profile: Profile = Profile(), stop_words: tuple[str, ...] = STOP) -> DataFrame:
-    """(id, left, right, cnt, log_dice): the k best pairs of content words within ``window`` tokens.
+    """(id, left, right, cnt, log_dice, rank): the k best pairs of content words within ``window`` tokens, the first seen first among equals.
 
     The words after each token come from the document's array, laid beside
-    itself at each distance, so there is no join of positions.
+    itself at each distance, so there is no join of positions.  A pair is first
+    seen at its earliest left word, at the nearest distance of that.
     """
     arrays = by_document(docs).select("id", tokenize(F.col("text"), profile).alias("terms"))
-    beside = lambda d: F.zip_with("terms", F.slice("terms", F.lit(d + 1), F.greatest(F.size("terms"), F.lit(1))), lambda a, b: F.struct(a.alias("term"), b.alias("other")))
-    near = arrays.select("id", F.explode(F.flatten(F.array(*[beside(d) for d in range(1, window + 1)]))).alias("p")).select("id", "p.*")
+    placed = arrays.select("id", F.transform("terms", lambda t, i: F.struct(i.alias("pos"), t.alias("term"))).alias("terms"))
+
+    def beside(d: int) -> Column:
+        later = F.slice("terms", F.lit(d + 1), F.greatest(F.size("terms"), F.lit(1)))
+        return F.zip_with("terms", later, lambda a, b: F.struct(a["pos"].alias("pos"), F.lit(d).alias("distance"), a["term"].alias("term"), b["term"].alias("other")))
+
+    near = placed.select("id", F.explode(F.flatten(F.array(*[beside(d) for d in range(1, window + 1)]))).alias("p")).select("id", "p.*")
     near = near.where(is_content(F.col("term"), stop_words) & is_content(F.col("other"), stop_words) & (F.col("other") != F.col("term")))
-    pairs = near.groupBy("id", F.least("term", "other").alias("left"), F.greatest("term", "other").alias("right")).agg(F.count("*").alias("cnt"))
+    first = F.min(F.struct("pos", "distance")).alias("first")
+    pairs = near.groupBy("id", F.least("term", "other").alias("left"), F.greatest("term", "other").alias("right")).agg(F.count("*").alias("cnt"), first)
     pairs = pairs.where("cnt >= 2")
     single = counts(tokens(docs, profile)).select("id", "term", F.col("cnt").alias("n"))
     for side in ("left", "right"):
         # Both sides lie by id already; a broadcast, planned by the size of the files, would be of all counts.
         pairs = pairs.join(single.withColumnsRenamed({"term": side, "n": f"n_{side}"}).hint("merge"), ["id", side])
     pairs = pairs.withColumn("log_dice", log_dice(F.col("cnt"), F.col("n_left") + F.col("n_right")))
-    w = Window.partitionBy("id").orderBy(F.desc("log_dice"), F.desc("cnt"), "left", "right")
+    w = Window.partitionBy("id").orderBy(F.desc("log_dice"), F.desc("cnt"), "first")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "left", "right", "cnt", "log_dice", "rank")

@@ -153,7 +153,7 @@ def _feature_sql(cnt: str, where: str, scale: str, number: int, size: str | None
     return f"""top AS (SELECT term, row_number() OVER (ORDER BY sum(cnt) DESC, min((id, first_pos))) - 1 AS feature_rank FROM {cnt} WHERE {where} GROUP BY term
             QUALIFY feature_rank < {number}),
         size AS (SELECT d.doc_id AS id, coalesce(sum(c.cnt), 0) AS size FROM documents d LEFT JOIN {size or cnt} c ON c.id = d.doc_id GROUP BY 1),
-        feat AS (SELECT s.id, t.term AS feature, t.feature_rank, coalesce(c.cnt, 0) * {scale} / greatest(s.size, 1) AS freq
+        feat AS (SELECT s.id, t.term AS feature, t.feature_rank, coalesce(c.cnt, 0) AS cnt, coalesce(c.cnt, 0) * {scale} / greatest(s.size, 1) AS freq
             FROM size s CROSS JOIN top t LEFT JOIN {cnt} c ON c.id = s.id AND c.term = t.term)"""
 
 
@@ -163,9 +163,9 @@ _FAM = f"""{_ARR}, grams AS (SELECT id, n, array_to_string(t[i:i + n - 1], ' ')
     fam AS (SELECT f.family, a.id, a.author, coalesce(h.cnt, 0) AS cnt, floor(1000.0::DOUBLE * coalesce(h.cnt, 0) / greatest(len(a.t), 1) * 1000 + 0.5) / 1000 AS per_1000
         FROM arr a CROSS JOIN (SELECT DISTINCT family FROM {_FAMILY}) f LEFT JOIN hits h ON h.id = a.id AND h.family = f.family)"""
 _Z = _CNT + ", " + _feature_sql("cnt", "true", "1000.0::DOUBLE", 100) + ", z AS (SELECT *, CASE WHEN stddev_pop(freq) OVER w > 1e-12 THEN (freq - avg(freq) OVER w) / stddev_pop(freq) OVER w ELSE 0 END AS z FROM feat WINDOW w AS (PARTITION BY feature))"
-_PAIRS = """pairs AS (SELECT a.id AS left_id, b.id AS right_id, floor(sum(floor(abs(a.z - b.z) * 1e4 + 0.5)) / count(*) + 0.5) / 1e4 AS delta,
-        floor((CASE WHEN sum(a.freq * a.freq) > 0 AND sum(b.freq * b.freq) > 0 THEN 1 - sum(a.freq * b.freq) / (sqrt(sum(a.freq * a.freq)) * sqrt(sum(b.freq * b.freq))) ELSE 1 END) * 1e4 + 0.5) / 1e4 AS cosine
-        FROM z a JOIN z b ON a.feature = b.feature AND a.id < b.id GROUP BY a.id, b.id)"""
+_PAIRS = """sums AS (SELECT a.id AS left_id, b.id AS right_id, floor(sum(floor(abs(a.z - b.z) * 1e4 + 0.5)) / count(*) + 0.5) / 1e4 AS delta,
+        sum(a.cnt * b.cnt)::DOUBLE AS dot, sqrt(sum(a.cnt * a.cnt)::DOUBLE * sum(b.cnt * b.cnt)::DOUBLE) AS root FROM z a JOIN z b ON a.feature = b.feature AND a.id < b.id GROUP BY a.id, b.id),
+        pairs AS (SELECT left_id, right_id, delta, CASE WHEN root > 0 THEN floor(1e4 * (root - dot) / root + 0.5) / 1e4 ELSE 1 END AS cosine FROM sums)"""
 _AFFINITY = f"{_CNT}, con AS (SELECT * FROM cnt WHERE length(term) > 2 AND term NOT IN {_STOP}), " + _feature_sql("con", "true", "1000.0::DOUBLE", 120) + ", z AS (SELECT *, 0.0::DOUBLE AS z FROM feat), " + _PAIRS
 _TFIDF = f"""{_PASSAGES}, e AS (SELECT id, generate_subscripts(p, 1) - 1 AS passage_idx, unnest(p) AS s FROM psg),
     w AS (SELECT id, passage_idx, unnest(regexp_extract_all(replace(lower(s), 'ß', 'ss'), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS term FROM e),
@@ -205,11 +205,11 @@ SQL: dict[str, str] = {
             floor(coalesce(m.mattr, 0) * 10000 + 0.5) / 10000 AS mattr_50, len(a.t) < 1000 AS few_tokens, len(p.p) < 3 AS few_passages
         FROM arr a JOIN psg p ON p.id = a.id LEFT JOIN f ON f.id = a.id LEFT JOIN m ON m.id = a.id""",
     "collocations_top15": f"""WITH {_CNT}, c AS (SELECT * FROM tok WHERE length(term) > 2 AND term NOT IN {_STOP}),
-        pairs AS (SELECT a.id, least(a.term, b.term) AS "left", greatest(a.term, b.term) AS "right", count(*) AS cnt
+        pairs AS (SELECT a.id, least(a.term, b.term) AS "left", greatest(a.term, b.term) AS "right", count(*) AS cnt, min((a.pos, b.pos)) AS first
             FROM c a JOIN c b ON a.id = b.id AND b.pos BETWEEN a.pos + 1 AND a.pos + 5 AND a.term <> b.term GROUP BY ALL HAVING count(*) >= 2),
         s AS (SELECT p.*, floor((14 + log2(2.0::DOUBLE * p.cnt / (l.cnt + r.cnt))) * 100 + 0.5) / 100 AS log_dice
             FROM pairs p JOIN cnt l ON l.id = p.id AND l.term = p."left" JOIN cnt r ON r.id = p.id AND r.term = p."right")
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY log_dice DESC, cnt DESC, "left", "right") AS rank FROM s) WHERE rank <= 15""",
+        SELECT * EXCLUDE (first) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY log_dice DESC, cnt DESC, first) AS rank FROM s) WHERE rank <= 15""",
     "term_family_counts": f"WITH {_FAM} SELECT * FROM fam",
     "term_family_by_author": f"WITH {_FAM} SELECT coalesce(nullif(author, ''), 'not stated') AS author, family, sum(cnt)::BIGINT AS cnt, count(*) FILTER (cnt > 0) AS documents FROM fam GROUP BY 1, 2",
     "term_family_totals": f"WITH {_FAM} SELECT family, sum(cnt)::BIGINT AS total FROM fam GROUP BY 1",
