@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Profile, half_up, is_content, tokenize
 from .lexicon import STOP, passage_rows
 
 THRESHOLD = 0.08
+#: Thresholds that the search for the best pairs goes down by, before its own.
+STEPS = (0.9, 0.6, 0.3, 0.15)
+#: Entries of a term's list that meet in one group; longer lists are cut into blocks that meet pairwise.
+BLOCK = 2000
+PLACE = ["id", "passage_idx"]
 
 
 def passage_terms(docs: DataFrame, profile: Profile = Profile(), stop_words: tuple[str, ...] = STOP) -> DataFrame:
@@ -18,25 +25,114 @@ def passage_terms(docs: DataFrame, profile: Profile = Profile(), stop_words: tup
 
 
 def tfidf(terms: DataFrame) -> DataFrame:
-    """Adds weight tf (ln((N + 1) / (df + 1)) + 1), N being the passages with any term."""
+    """Adds df and weight tf (ln((N + 1) / (df + 1)) + 1), N being the passages with any term."""
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     total = terms.select("id", "passage_idx").distinct().agg(F.count("*").alias("total"))
     weighed = terms.join(df, "term").join(F.broadcast(total))
     return weighed.withColumn("weight", F.col("tf") * (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1)).drop("total")
 
 
+@dataclass
+class Index:
+    """Distinct passages and who has them.
+
+    classes: (cls, terms), cls a hash of the terms and their numbers, terms
+    (df, term, u) by rarity, u their shares of a vector of length 1.
+    members: (cls, id, passage_idx) of every passage with a term.
+    """
+
+    classes: DataFrame
+    members: DataFrame
+
+
+def index(docs: DataFrame, profile: Profile = Profile(), stop_words: tuple[str, ...] = STOP) -> Index:
+    """Passages of the same terms, as often each, are one class: copies are compared once, however many there are."""
+    w = tfidf(passage_terms(docs, profile, stop_words)).groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("df", "term", "tf", "weight"))).alias("w"))
+    own = F.sha2(F.array_join(F.transform("w", lambda x: F.concat_ws(":", x["term"], x["tf"])), " "), 256)
+    w = w.withColumn("cls", own).persist()
+    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda total, x: total + x["weight"] * x["weight"]))
+    first = w.groupBy("cls").agg(F.first("w").alias("w")).withColumn("norm", norm)
+    unit = F.transform("w", lambda x: F.struct(x["df"].alias("df"), x["term"].alias("term"), (x["weight"] / F.col("norm")).alias("u")))
+    return Index(first.select("cls", unit.alias("terms")).persist(), w.select("cls", *PLACE))
+
+
+def prefix(terms: Column, threshold: float) -> Column:
+    """The rarest terms of a vector, as many as leave a rest of a length below the threshold.
+
+    Two vectors that reach the threshold share one of both their prefixes: else
+    all that they share would lie in the rest of one of them.
+    """
+    limit = threshold * threshold * (1 - 1e-9)
+    start = F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("n"))
+    step = lambda a, x: F.when(a["rest"] < limit, a).otherwise(F.struct((a["rest"] - x["u"] * x["u"]).alias("rest"), (a["n"] + 1).alias("n")))
+    return F.slice(terms, F.lit(1), F.aggregate(terms, start, step)["n"])
+
+
+def candidate_pairs(classes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: classes that share a term of both prefixes.
+
+    A term's list is cut into blocks by its length; each pair of blocks is a
+    group of its own, so that a frequent term is no single task's.
+    """
+    lists = classes.select("cls", F.explode(F.transform(prefix(F.col("terms"), threshold), lambda x: x["term"])).alias("term"))
+    sizes = lists.groupBy("term").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    dealt = lists.join(sizes, "term").select("term", "cls", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = dealt.select("term", F.col("cls").alias("a"), F.col("own").alias("i"), every.alias("j"))
+    right = dealt.select("term", F.col("cls").alias("b"), F.col("own").alias("j"), every.alias("i"))
+    return left.join(right, ["term", "i", "j"]).where("a < b").select("a", "b").distinct()
+
+
+def similar_classes(classes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, s) of the pairs of different classes whose cosine is at least the threshold."""
+    # Terms by name for the dot product; a class's own terms are distinct.
+    bag = F.map_from_entries(F.transform("terms", lambda x: F.struct(x["term"], x["u"])))
+    pairs = candidate_pairs(classes, threshold, block).join(classes.select(F.col("cls").alias("a"), F.col("terms").alias("ta")), "a")
+    pairs = pairs.join(classes.select(F.col("cls").alias("b"), bag.alias("tb")), "b")
+    s = F.aggregate("ta", F.lit(0.0), lambda total, x: total + x["u"] * F.coalesce(F.col("tb")[x["term"]], F.lit(0.0)))
+    return pairs.select("a", "b", s.alias("s")).where(F.col("s") >= threshold)
+
+
+def _first_members(members: DataFrame, k: int) -> DataFrame:
+    """Members of each class that can be in one of the first k pairs: of its first k + 1 documents, the first k passages each."""
+    own = F.row_number().over(Window.partitionBy("cls", "id").orderBy("passage_idx"))
+    found = members.withColumn("own", own).where(F.col("own") <= k)
+    doc = F.dense_rank().over(Window.partitionBy("cls").orderBy("id"))
+    return found.withColumn("doc", doc).where(F.col("doc") <= k + 1).select("cls", *PLACE)
+
+
+def best_pairs(found: Index, k: int, threshold: float) -> DataFrame:
+    """(id, passage_idx, id2, idx2, a, b, similarity): the k most similar passage pairs of different documents of at least the threshold, first places first among equals."""
+    copies = found.members.groupBy("cls").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("s"))
+    pairs = similar_classes(found.classes, threshold).unionByName(copies)
+    first = _first_members(found.members, k)
+    both = pairs.join(first.withColumnRenamed("cls", "a"), "a").join(first.select(F.col("cls").alias("b"), F.col("id").alias("id2"), F.col("passage_idx").alias("idx2")), "b")
+    # Classes come in order of their names; the pair, in that of its documents.
+    low = F.col("id") < F.col("id2")
+    names = [F.when(low, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("id", "id2"), ("passage_idx", "idx2"), ("a", "b"))]
+    other = [F.when(low, F.col(y)).otherwise(F.col(x)).alias(y) for x, y in (("id", "id2"), ("passage_idx", "idx2"), ("a", "b"))]
+    both = both.where("id <> id2").select(*names, *other, half_up(F.col("s"), 4).alias("similarity")).distinct()
+    return both.orderBy(F.desc("similarity"), "id", "passage_idx", "id2", "idx2").limit(k)
+
+
 def similar(docs: DataFrame, k: int = 30, threshold: float = THRESHOLD, profile: Profile = Profile(), stop_words: tuple[str, ...] = STOP) -> DataFrame:
     """The k most similar passage pairs of different documents, with their ten heaviest shared terms.
 
-    Weights are positive, so pairs that share no term have similarity 0: only
-    pairs that meet in the inverted index are made.
+    The search begins at a high threshold, where prefixes are short, and goes
+    down only while there are fewer than k pairs: all pairs above a threshold
+    are found, so k of them are the best k.  Thresholds lie where rounding does.
     """
-    w = tfidf(passage_terms(docs, profile, stop_words))
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id", "passage_idx")))
-    unit = w.select("id", "passage_idx", "term", (F.col("weight") / norm).alias("u"))
-    right = unit.withColumnsRenamed({"id": "id2", "passage_idx": "idx2", "u": "u2"})
-    pairs = unit.join(right, "term").where("id < id2").groupBy("id", "passage_idx", "id2", "idx2").agg(F.sum(F.col("u") * F.col("u2")).alias("s"))
-    top = pairs.where(F.col("s") >= threshold).withColumn("similarity", half_up(F.col("s"), 4)).orderBy(F.desc("similarity"), "id", "passage_idx", "id2", "idx2").limit(k)
-    shared = F.broadcast(top).join(unit, ["id", "passage_idx"]).join(right, ["term", "id2", "idx2"])
-    listed = F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("u") * F.col("u2")).alias("x"), "term"))), 1, 10), lambda x: x["term"])
-    return shared.groupBy("id", "passage_idx", "id2", "idx2", "similarity").agg(listed.alias("shared_terms")).orderBy(F.desc("similarity"), "id", "passage_idx", "id2", "idx2")
+    found = index(docs, profile, stop_words)
+    for step in [*(x - 5e-5 for x in STEPS if x > threshold), threshold]:
+        top = best_pairs(found, k, step).persist()
+        if top.count() >= k:
+            break
+    terms = lambda cls, name: found.classes.select(F.col("cls").alias(cls), F.col("terms").alias(name))
+    rows = F.broadcast(top).join(terms("a", "ta"), "a").join(terms("b", "tb"), "b")
+    bag = F.map_from_entries(F.transform("tb", lambda x: F.struct(x["term"], x["u"])))
+    rows = rows.select("id", "passage_idx", "id2", "idx2", "similarity", "ta", bag.alias("tb"))
+    shared = F.filter(F.transform("ta", lambda x: F.struct((-x["u"] * F.col("tb")[x["term"]]).alias("x"), x["term"].alias("term"))), lambda x: x["x"].isNotNull())
+    listed = F.transform(F.slice(F.sort_array(shared), 1, 10), lambda x: x["term"])
+    out = rows.select("id", "passage_idx", "id2", "idx2", "similarity", listed.alias("shared_terms"))
+    return out.orderBy(F.desc("similarity"), "id", "passage_idx", "id2", "idx2")

@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Profile, apply_profile, half_up, tokenize
@@ -71,43 +71,95 @@ def select_families(spark, families: list[Family], requested: str | list[str], p
     return out
 
 
-def sequences(spark, families: dict[str, list[str]], profile: Profile = Profile()) -> DataFrame:
-    """(family, n, term): each distinct token sequence of a family, joined by spaces."""
-    rows = spark.createDataFrame([(k, a) for k, v in families.items() for a in v], "family string, text string")
-    split = rows.select("family", tokenize(F.col("text"), profile).alias("t")).where(F.size("t") > 0)
-    return split.select("family", F.size("t").alias("n"), F.array_join("t", " ").alias("term")).distinct()
+@dataclass
+class Trie:
+    """A vocabulary's token sequences as a trie.
 
+    first: the tokens that begin a sequence, on the driver, as the vocabulary is.
+    edges: (level, node, token, child), the root being node 0 of level 1.
+    ends: (node, owner) for every owner of a sequence that ends in the node.
+    """
+
+    first: list[str]
+    edges: DataFrame
+    ends: DataFrame
+    depth: int
+
+
+def trie(spark, wanted: list[tuple[str, str]], profile: Profile = Profile()) -> Trie:
+    """The trie of (owner, text); an owner's equal sequences count once, texts without tokens not at all."""
+    rows = spark.createDataFrame(wanted, "owner string, text string").select("owner", tokenize(F.col("text"), profile).alias("t"))
+    nodes: dict[tuple[str, ...], int] = {(): 0}
+    ends: set[tuple[int, str]] = set()
+    for owner, t in rows.where(F.size("t") > 0).collect():
+        for n in range(1, len(t) + 1):
+            nodes.setdefault(tuple(t[:n]), len(nodes))
+        ends.add((nodes[tuple(t)], owner))
+    edges = [(len(t), nodes[t[:-1]], t[-1], child) for t, child in nodes.items() if t]
+    return Trie(
+        sorted(t[0] for t in nodes if len(t) == 1),
+        spark.createDataFrame(edges, "level int, node int, token string, child int"),
+        spark.createDataFrame(sorted(ends), "node int, owner string"),
+        max(map(len, nodes)),
+    )
+
+
+def candidates(rows: DataFrame, found: Trie, keys: list[str]) -> DataFrame:
+    """(*keys, w): for each place of ``t`` whose token begins a sequence, the tokens from there, as many as the longest has.
+
+    Places are chosen within the row, before anything is exploded; a row
+    without any keeps one, with w null.
+    """
+    near = F.filter(F.transform("t", lambda x, i: F.when(x.isin(*found.first), i + 1)), lambda i: i.isNotNull())
+    return rows.select(*keys, F.explode_outer(F.transform(near, lambda i: F.slice(F.col("t"), i, F.lit(found.depth)))).alias("w"))
+
+
+def matches(rows: DataFrame, found: Trie, keys: list[str]) -> DataFrame:
+    """(*keys, owner), a row for each place of ``t`` and sequence that begins there; other places and rows without any have owner null.
+
+    ``rows`` has a column ``t`` of tokens.  Every place walks down the trie, a
+    join with the small table of edges a level; all sequences that it passes
+    the end of are matches, so they may overlap and hold one another.
+    """
+    walk = candidates(rows, found, keys).withColumn("n0", F.lit(0))
+    for level in range(1, found.depth + 1):
+        # The vocabulary is the caller's own, from the driver.
+        step = found.edges.where(F.col("level") == level).select(F.col("node").alias(f"n{level - 1}"), F.col("token").alias("next"), F.col("child").alias(f"n{level}"))
+        walk = walk.withColumn("next", F.get("w", F.lit(level - 1))).join(F.broadcast(step), [f"n{level - 1}", "next"], "left")
+    passed = F.filter(F.array(*[f"n{level}" for level in range(found.depth + 1)]), lambda n: n > 0)
+    return walk.select(*keys, F.explode_outer(passed).alias("node")).join(F.broadcast(found.ends), "node", "left").select(*keys, "owner")
 
-def _gram_hits(arrays: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, family, cnt) over rows (*keys, t): token sequences of a vocabulary (family, n, term), overlapping ones counted."""
-    sizes = [r.n for r in wanted.select("n").distinct().orderBy("n").collect()]
 
-    def grams(n: int) -> Column:
-        # Arrays side by side: a lambda that named the tokens would make them anew for each of its elements.
-        out = F.col("t")
-        for k in range(1, n):
-            out = F.zip_with(out, F.slice("t", F.lit(k + 1), F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.transform(out, lambda x: F.struct(F.lit(n).alias("n"), x.alias("term")))
+def _tokenised(docs: DataFrame, profile: Profile, *keep: str) -> DataFrame:
+    return docs.select("id", *keep, tokenize(F.col("text"), profile).alias("t"))
 
-    each = arrays.select(*keys, F.explode(F.concat(*map(grams, sizes))).alias("g")).select(*keys, "g.n", "g.term") if sizes else arrays.select(*keys, F.lit(0).alias("n"), F.lit("").alias("term"))
-    # The vocabulary is what the caller passed in from the driver.
-    return each.join(F.broadcast(wanted), ["n", "term"]).groupBy(*keys, "family").agg(F.count("*").alias("cnt"))
+
+def _hits(rows: DataFrame, wanted: list[tuple[str, str]], profile: Profile) -> DataFrame:
+    """(id, owner, cnt) over rows (id, t)."""
+    each = matches(rows, trie(rows.sparkSession, wanted, profile), ["id"]).where("owner IS NOT NULL")
+    return each.groupBy("id", "owner").agg(F.count("*").alias("cnt"))
 
 
 def family_hits(docs: DataFrame, families: dict[str, list[str]], profile: Profile = Profile()) -> DataFrame:
     """(id, family, cnt), overlapping matches and parts of longer ones counted."""
-    wanted = sequences(docs.sparkSession, families, profile)
-    return _gram_hits(docs.select("id", tokenize(F.col("text"), profile).alias("t")), wanted, ["id"])
+    return _hits(_tokenised(docs, profile), [(k, a) for k, v in families.items() for a in v], profile).withColumnRenamed("owner", "family")
+
+
+def _zeros_too(rows: DataFrame, found: Trie, keys: list[str], owners: Column) -> DataFrame:
+    """(*keys, owner, cnt) for every row and each of its ``owners``, an array over the keys; only counts are shuffled."""
+    counted = matches(rows, found, keys).groupBy(*keys, "owner").agg(F.count("*").alias("cnt"))
+    own = F.filter(F.collect_list(F.struct("owner", "cnt")), lambda x: x["owner"].isNotNull())
+    grid = counted.groupBy(*keys).agg(F.map_from_entries(own).alias("counts")).select(*keys, "counts", F.explode(owners).alias("owner"))
+    return grid.select(*keys, "owner", F.coalesce(F.col("counts")[F.col("owner")], F.lit(0)).alias("cnt"))
 
 
 def family_counts(docs: DataFrame, families: dict[str, list[str]], profile: Profile = Profile()) -> DataFrame:
-    """(family, id, author, cnt, per_1000) for every family and document, zeros included."""
-    names = docs.sparkSession.createDataFrame([(k,) for k in families], "family string")
-    sized = docs.select("id", "author", F.size(tokenize(F.col("text"), profile)).alias("n"))
-    grid = sized.withColumn("family", F.explode(F.array(*map(F.lit, families)))) if families else sized.join(names)
-    rows = grid.join(family_hits(docs, families, profile), ["id", "family"], "left")
-    cnt = F.coalesce("cnt", F.lit(0))
-    return rows.select("family", "id", "author", cnt.alias("cnt"), half_up(1000.0 * cnt / F.greatest("n", F.lit(1)), 3).alias("per_1000"))
+    """(family, id, author, cnt, per_1000) for every family and document, zeros included; texts are read and folded once."""
+    found = trie(docs.sparkSession, [(k, a) for k, v in families.items() for a in v], profile)
+    rows = _tokenised(docs, profile, "author").withColumn("n", F.size("t"))
+    grid = _zeros_too(rows, found, ["id", "author", "n"], F.array(*map(F.lit, families)).cast("array<string>"))
+    per_1000 = half_up(1000.0 * F.col("cnt") / F.greatest("n", F.lit(1)), 3)
+    return grid.select(F.col("owner").alias("family"), "id", "author", "cnt", per_1000.alias("per_1000"))
 
 
 def by_author(per_document: DataFrame) -> DataFrame:
@@ -116,8 +168,14 @@ def by_author(per_document: DataFrame) -> DataFrame:
     return per_document.groupBy(author.alias("author"), "family").agg(F.sum("cnt").alias("cnt"), F.count_if(F.col("cnt") > 0).alias("documents"))
 
 
-def totals(per_document: DataFrame) -> DataFrame:
-    return per_document.groupBy("family").agg(F.sum("cnt").alias("total")).orderBy(F.desc("total"), "family")
+def in_order(family: Column, families: list[str]) -> Column:
+    """A family's place in the vocabulary."""
+    return F.array_position(F.array(*map(F.lit, families)).cast("array<string>"), family)
+
+
+def totals(per_document: DataFrame, families: list[str]) -> DataFrame:
+    """(family, total), the largest first, equal ones in the vocabulary's order."""
+    return per_document.groupBy("family").agg(F.sum("cnt").alias("total")).orderBy(F.desc("total"), in_order(F.col("family"), families))
 
 
 def highlight_forms(pairs: DataFrame, families: list[Family], profile: Profile = Profile()) -> DataFrame:
@@ -139,34 +197,36 @@ def report(docs: DataFrame, layers: DataFrame, families: list[Family], profile:
     """
     spark = docs.sparkSession
     kinds = [(f.id, f.label or f.id, i, kind, list(f.terms(kind))) for i, f in enumerate(families) for kind in ("forms", "lemmas")]
-    named = spark.createDataFrame(kinds, "family string, label string, vocabulary int, kind string, terms array<string>")
-    wanted = named.select("family", "kind", F.explode("terms").alias("text")).select("family", "kind", tokenize(F.col("text"), profile).alias("t"))
-    wanted = wanted.where(F.size("t") > 0).select(F.concat_ws("\u0000", "kind", "family").alias("family"), F.size("t").alias("n"), F.array_join("t", " ").alias("term")).distinct()
+    named = spark.createDataFrame(kinds, "family string, label string, place int, kind string, terms array<string>")
+    owner = lambda kind, family: f"{kind}\0{family}"
+    found = trie(spark, [(owner(kind, family), text) for family, _, _, kind, terms in kinds for text in terms], profile)
     kind = F.when(F.col("source").startswith("lemmas"), "lemmas").otherwise("forms")
-    rows = docs.select("id", "title", "author").join(layers.select("id", "source", F.col("tokens").alias("t")), "id").withColumn("kind", kind)
-    hits = _gram_hits(rows.select("id", "t"), wanted, ["id"]).select("id", F.split("family", "\u0000")[0].alias("kind"), F.split("family", "\u0000")[1].alias("family"), "cnt")
-    grid = rows.withColumn("n", F.size("t")).drop("t").join(F.broadcast(named), "kind").join(hits, ["id", "kind", "family"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
-    found = family_contexts(docs, {f.id: list(f.aliases) for f in families}, profile, limit=contexts)
-    found = found.groupBy("family", "id").agg(F.sort_array(F.collect_list(F.struct("idx", "left", "match", "right"))).alias("contexts"))
+    rows = docs.select("id", "title", "author").join(layers.select("id", "source", F.col("tokens").alias("t")), "id").withColumn("kind", kind).withColumn("n", F.size("t"))
+    keys = ["id", "title", "author", "source", "kind", "n"]
+    own = lambda kind: F.array(*[F.lit(owner(kind, f.id)) for f in families]).cast("array<string>")
+    grid = _zeros_too(rows, found, keys, F.when(F.col("kind") == "lemmas", own("lemmas")).otherwise(own("forms")))
+    grid = grid.withColumn("family", F.split("owner", "\0")[1]).join(F.broadcast(named), ["kind", "family"])
+    near = family_contexts(docs, {f.id: list(f.aliases) for f in families}, profile, limit=contexts)
+    near = near.groupBy("family", "id").agg(F.sort_array(F.collect_list(F.struct("idx", "left", "match", "right"))).alias("contexts"))
     sums = grid.groupBy("family").agg(F.sum("cnt").alias("total"))
-    out = grid.join(F.broadcast(sums), "family").join(found, ["family", "id"], "left")
-    shown = ["family", "label", "total", "id", "title", "author", "source", "terms", "cnt", half_up(1000.0 * F.col("cnt") / F.greatest("n", F.lit(1)), 3).alias("per_1000"), "contexts"]
-    return out.orderBy(F.desc("total"), "vocabulary", "id").select(*shown)
+    out = grid.join(F.broadcast(sums), "family").join(near, ["family", "id"], "left")
+    shown = ["family", "label", "total", "place", "id", "title", "author", "source", "terms", "cnt", half_up(1000.0 * F.col("cnt") / F.greatest("n", F.lit(1)), 3).alias("per_1000"), "contexts"]
+    return out.orderBy(F.desc("total"), "place", "id").select(*shown)
 
 
 def author_report(per_document: DataFrame) -> DataFrame:
-    """(author, total, documents, families): authors by their total, first seen first among equals; families with their counts, zeros included."""
+    """(author, total, documents, families): authors by their total, first seen first among equals; families with their counts, equal ones in the vocabulary's order, zeros included."""
     author = F.coalesce(F.nullif(F.col("author"), F.lit("")), F.lit("not stated"))
-    each = per_document.withColumn("author", author).groupBy("author", "family").agg(F.sum("cnt").alias("cnt"), F.min("id").alias("first"), F.count("*").alias("n"))
-    listed = F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("order"), "family", "cnt")))
+    each = per_document.withColumn("author", author).groupBy("author", "family", "place").agg(F.sum("cnt").alias("cnt"), F.min("id").alias("first"), F.count("*").alias("n"))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("order"), "place", "family", "cnt")))
     out = each.groupBy("author").agg(F.sum("cnt").alias("total"), F.max("n").alias("documents"), F.min("first").alias("first"), F.transform(listed, lambda x: F.struct(x["family"].alias("family"), x["cnt"].alias("cnt"))).alias("families"))
     return out.orderBy(F.desc("total"), "first").select("author", "total", "documents", "families")
 
 
-def shown_families(totals_: DataFrame, first: int = 8) -> DataFrame:
-    """Families with hits; where none has any, the first ones."""
+def shown_families(totals_: DataFrame, families: list[str], first: int = 8) -> DataFrame:
+    """Families with hits; where none has any, the first ones of the vocabulary."""
     hit = totals_.where("total > 0")
-    return totals_.orderBy("family").limit(first) if hit.isEmpty() else hit
+    return totals_.orderBy(in_order(F.col("family"), families)).limit(first) if hit.isEmpty() else hit
 
 
 def documents_with_hits(per_document: DataFrame, family: str) -> DataFrame:
@@ -180,11 +240,10 @@ def top_total(totals_: DataFrame, k: int = 6) -> DataFrame:
 
 def counted_terms(docs: DataFrame, families: dict[str, list[str]], profile: Profile = Profile(), k: int = 8) -> DataFrame:
     """(family, term, cnt, rank): each family's k most counted token sequences in the corpus."""
-    from pyspark.sql import Window
-
-    wanted = sequences(docs.sparkSession, families, profile)
-    each = wanted.select(F.concat_ws("\u0000", "family", "term").alias("family"), "n", "term")
-    hits = _gram_hits(docs.select("id", tokenize(F.col("text"), profile).alias("t")), each, ["id"]).groupBy("family").agg(F.sum("cnt").alias("cnt"))
-    rows = hits.select(F.split("family", "\u0000")[0].alias("family"), F.split("family", "\u0000")[1].alias("term"), "cnt")
+    texts = sorted({(f, a) for f, v in families.items() for a in v})
+    split = docs.sparkSession.createDataFrame(texts, "family string, text string").select("family", F.array_join(tokenize(F.col("text"), profile), " ").alias("term"))
+    wanted = [(f"{r.family}\0{r.term}", r.term) for r in split.where("term <> ''").distinct().collect()]  # the caller's own vocabulary
+    hits = _hits(_tokenised(docs, profile), wanted, profile).groupBy("owner").agg(F.sum("cnt").alias("cnt"))
+    rows = hits.select(F.split("owner", "\0")[0].alias("family"), F.split("owner", "\0")[1].alias("term"), "cnt")
     w = Window.partitionBy("family").orderBy(F.desc("cnt"), "term")  # a family has as many terms as the caller gave it
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

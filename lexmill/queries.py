@@ -84,7 +84,7 @@ QUERIES: dict[str, Query] = {
     "form_lemma_pairs": lambda s, d: conllu.form_lemma_pairs(conllu.to_conllu(docs(s, d))).groupBy("form", "lemma").agg(F.count("*").alias("cnt")),
     "term_report": lambda s, d: _report(s, d).select("family", "label", "total", "id", "title", "source", "cnt", "per_1000"),
     "term_authors": lambda s, d: terms.author_report(_report(s, d)).select("author", "total", "documents", F.array_join(F.transform("families", lambda x: F.concat(x["family"], F.lit("="), x["cnt"])), ",").alias("families")),
-    "term_top_total": lambda s, d: terms.top_total(terms.totals(terms.family_counts(docs(s, d), FAMILIES)), 2),
+    "term_top_total": lambda s, d: terms.top_total(terms.totals(terms.family_counts(docs(s, d), FAMILIES), list(FAMILIES)), 2),
     "term_counted": lambda s, d: terms.counted_terms(docs(s, d), FAMILIES, k=2),
     "nearest_pairs_top8": _nearest,
     "affinity_top8": lambda s, d: views.affinity_table(_affinity(s, d)),
@@ -103,7 +103,7 @@ QUERIES: dict[str, Query] = {
     "kwic": lambda s, d: concordance.kwic(docs(s, d), KWIC_QUERY),
     "term_family_counts": lambda s, d: terms.family_counts(docs(s, d), FAMILIES),
     "term_family_by_author": lambda s, d: terms.by_author(terms.family_counts(docs(s, d), FAMILIES)),
-    "term_family_totals": lambda s, d: terms.totals(terms.family_counts(docs(s, d), FAMILIES)),
+    "term_family_totals": lambda s, d: terms.totals(terms.family_counts(docs(s, d), FAMILIES), list(FAMILIES)),
     "term_contexts": lambda s, d: concordance.family_contexts(docs(s, d), FAMILIES),
     "feature_table_words": _features("words"),
     "feature_table_function": _features("function"),
@@ -259,7 +259,7 @@ SQL: dict[str, str] = {
     "term_report": f"""WITH {_FAM}, tot AS (SELECT family, sum(cnt)::BIGINT AS total FROM fam GROUP BY family)
         SELECT family, upper(family[1]) || family[2:] AS label, total, id, 'doc ' || id AS title, 'forms' AS source, cnt, per_1000 FROM fam JOIN tot USING (family)""",
     "term_authors": f"""WITH {_FAM}, e AS (SELECT coalesce(nullif(author, ''), 'not stated') AS author, family, sum(cnt)::BIGINT AS cnt, count(*) AS n FROM fam GROUP BY 1, 2)
-        SELECT author, sum(cnt)::BIGINT AS total, max(n) AS documents, string_agg(family || '=' || cnt, ',' ORDER BY cnt DESC, family) AS families FROM e GROUP BY author""",
+        SELECT author, sum(cnt)::BIGINT AS total, max(n) AS documents, string_agg(family || '=' || cnt, ',' ORDER BY cnt DESC, list_position({list(FAMILIES)}, family)) AS families FROM e GROUP BY author""",
     "term_top_total": f"WITH {_FAM} SELECT sum(cnt)::BIGINT AS total FROM (SELECT sum(cnt) AS cnt FROM fam GROUP BY family ORDER BY cnt DESC, family LIMIT 2)",
     "term_counted": f"""{'WITH ' + _FAM}, each AS (SELECT v.family, g.term, count(*) AS cnt FROM grams g JOIN {_FAMILY} USING (n, term) GROUP BY ALL)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY cnt DESC, term) AS rank FROM each) WHERE rank <= 2""",
