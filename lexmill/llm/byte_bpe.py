@@ -14,23 +14,26 @@ import base64
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, islice
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import pieces
+from .textscan import pieces, ranges
 from .token_counts import PATTERN
 
 #: Bytes are written as the 256 letters from this code point on: none is white space or a control.
 FIRST_LETTER = 0x100
-#: Pre-tokens of a text that are encoded at once.
-CHUNK = 1 << 16
+#: Characters of a text that are encoded at once, at least, and ids that are decoded at once, about.
+CHUNK, IDS = 1 << 18, 1 << 19
 #: Pre-tokens of up to so many characters are remembered by a worker, in all up to so many characters.
-SHORT, REMEMBERED = 64, 16 << 20
+SHORT, REMEMBERED = 64, 4 << 20
+BEFORE_SPACE = regex.compile(r"(?<=\S)(?=\s)")
 
 _LETTERS = {b: FIRST_LETTER + b for b in range(256)}
 
@@ -84,55 +87,61 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return bytes(out + _field(_NORMALIZER, plain))
 
 
-class Codec:
-    """Encodes and decodes whole texts; remembers the ids of short pre-tokens."""
+class Codec(dict):
+    """Encodes and decodes whole texts; as a dict, the ids of short pre-tokens that were met, 4 bytes each."""
 
     def __init__(self, content: bytes, pattern: str = PATTERN):
+        super().__init__()
         self.ranks = read_ranks(content)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
-        self.ids = sorted(self.ranks.values())  # a piece's number is its token's place by rank
-        self.in_order = self.ids == list(range(len(self.ids)))
-        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        self.ids = np.array(sorted(self.ranks.values()), np.int32)  # a piece's number is its token's place by rank
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
         self.held = 0
-
-    def encode_pretokens(self, words: list[str]) -> list[list[int]]:
-        """Ids of each pre-token; one that is a token as a whole has that token's id."""
-        raw = [w.encode() for w in words]
-        out = [[self.ranks[r]] if r in self.ranks else None for r in raw]
-        rest = [i for i, x in enumerate(out) if x is None]
-        if rest:
-            for i, ids in zip(rest, self.model.encode([lettered(raw[i]) for i in rest], num_threads=1), strict=True):
-                out[i] = ids if self.in_order else [self.ids[k] for k in ids]
-        return out
-
-    def _ids(self, words: list[str]) -> list[int]:
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        extra: dict[str, list[int]] = {}
-        if new:
+        tokens = {rank: token for token, rank in self.ranks.items()}
+        sizes = np.zeros(int(self.ids[-1]) + 1, np.int64)
+        sizes[self.ids] = [len(tokens[r]) for r in self.ids.tolist()]
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(tokens[r] for r in self.ids.tolist()), np.uint8)
+
+    def __missing__(self, word: str) -> bytes:
+        raw = word.encode()
+        # A pre-token that is a token as a whole has that token's id.
+        rank = self.ranks.get(raw)
+        ids = np.array([rank], np.int32) if rank is not None else self.ids[self.model.encode(lettered(raw), num_threads=1)]
+        if len(word) <= SHORT:
             if self.held > REMEMBERED:
-                known.clear()
-                self.held, new = 0, list(set(words))
-            for w, ids in zip(new, self.encode_pretokens(new), strict=True):
-                if len(w) <= SHORT:
-                    known[w] = ids
-                    self.held += len(w) + 8
-                else:
-                    extra[w] = ids
-        if extra:
-            return list(chain.from_iterable(extra[w] if w in extra else known[w] for w in words))
-        return list(chain.from_iterable(map(known.__getitem__, words)))
-
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """The text's ids, some thousand pre-tokens at a time."""
-        found = (m.group() for m in self.pattern.finditer(text))
-        while words := list(islice(found, CHUNK)):
-            yield self._ids(words)
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+                self.clear()
+                self.held = 0
+            self[word] = ids.tobytes()
+            self.held += len(word) + 8
+        return ids.tobytes()
+
+    def encode(self, text: str) -> Iterator[np.ndarray]:
+        """The text's ids, some hundred thousand characters at a time.
+
+        Texts are cut where white space begins: no pre-token crosses that, and
+        none looks back.
+        """
+        low = 0
+        while low < len(text):
+            cut = BEFORE_SPACE.search(text, low + CHUNK) if len(text) - low > CHUNK else None
+            high = cut.start() if cut else len(text)
+            yield np.frombuffer(b"".join(map(self.__getitem__, self.pattern.findall(text, low, high) if low or cut else self.pattern.findall(text))), np.int32)
+            low = high
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids in a row, and where each id's begin."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.sizes) and self.sizes[ids].all()):
+            raise ValueError("an id that the vocabulary doesn't have")
+        sizes = self.sizes[ids]
+        starts, out = np.cumsum(sizes) - sizes, [np.zeros(0, np.uint8)]
+        for low in range(0, len(ids), IDS):
+            own, n = slice(low, low + IDS), sizes[low : low + IDS]
+            out.append(self.bytes[np.repeat(self.starts[ids[own]] - (starts[own] - starts[low]), n) + np.arange(n.sum())])
+        return np.concatenate(out), starts
+
+    def text_of(self, ids: np.ndarray) -> bytes:
+        return self.decode(ids)[0].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -154,11 +163,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str = PATTERN) -> DataFrame:
         for batch in batches:
             own = codec(shared.value, pattern)
             for low, high in pieces(batch.column(1)):
-                part, ids = batch.slice(low, high - low), []
-                for text in part.column(1):
-                    ids.append(pa.concat_arrays([pa.array(x, pa.int32()) for x in own.encode(text.as_py())] or [pa.array([], pa.int32())]))
-                offsets = pa.array(list(accumulate(map(len, ids), initial=0)), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.concat_arrays(ids))
+                part = batch.slice(low, high - low)
+                found = [list(own.encode(text.as_py())) for text in part.column(1)]
+                offsets = np.cumsum([0, *(sum(map(len, x)) for x in found)], dtype=np.int32)
+                flat = np.concatenate([np.zeros(0, np.int32), *chain.from_iterable(found)])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -177,9 +186,14 @@ def decode(rows: DataFrame, ranks: bytes, ids: str = "ids", into: str = "decoded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = codec(shared.value, PATTERN)
-            for low in range(0, len(batch), 64):
-                part = batch.slice(low, 64)
-                found = pa.array([own.decode(x.as_py() or []) for x in part.column(len(kept))], pa.binary())
+            sizes = pc.fill_null(pc.list_value_length(batch.column(len(kept))), 0)
+            for low, high in ranges(sizes, IDS):
+                part = batch.slice(low, high - low)
+                lists = part.column(len(kept))
+                data, starts = own.decode(lists.flatten().to_numpy(zero_copy_only=False))
+                first = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                offsets = np.append(starts, len(data))[first].astype(np.int32)
+                found = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], [*kept, into])
 
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept]

@@ -49,12 +49,12 @@ def arrival() -> Column:
     return SECONDS * F.col("p")
 
 
-def thresholds() -> list[Column]:
-    """For each attempt, from which second of the first attempt on it delivers if none before it does; null: never."""
+def thresholds() -> Column:
+    """An array: for each attempt, from which second of the first attempt on it delivers if none before it does; null: never."""
     faulty = _hash(1) % 101 < 50
     repair = arrival() + _hash(2) % 101
     late = [F.when(faulty & (_hash(a + 2) % 3 != 0), repair - WAITS[a - 1]) for a in range(1, ATTEMPTS + 1)]
-    return [F.when(~faulty, F.lit(LOW)).otherwise(late[0]), *late[1:]]
+    return F.array(F.when(~faulty, F.lit(LOW)).otherwise(late[0]), *late[1:])
 
 
 def _piece(lo: Column, hi: Column, add: Column, flat: Column) -> Column:
@@ -63,8 +63,8 @@ def _piece(lo: Column, hi: Column, add: Column, flat: Column) -> Column:
 
 
 def delivery_function() -> Column:
-    """A turn's pieces over its parent's delivery, which cover LOW to HIGH; ``add`` null: it is never delivered."""
-    t = thresholds()
+    """A turn's pieces over its parent's delivery, which cover LOW to HIGH; ``add`` null: it is never delivered. Needs ``late``, its thresholds."""
+    t = [F.col("late")[a] for a in range(ATTEMPTS)]
     shift = F.lit(False)
     found = [F.when(F.least(*t, F.lit(HIGH)) > LOW, _piece(F.lit(LOW), F.least(*t, F.lit(HIGH)), F.lit(None), shift))]
     for a in reversed(range(ATTEMPTS)):
@@ -116,9 +116,10 @@ def _before(sums: DataFrame, column: Column) -> Column:
 
 
 def number_turns(conversations: DataFrame) -> DataFrame:
-    """(null_conv, conv, p, turn, crc): each conversation's turns from 0 by turn.
+    """(null_conv, conv, p, turn, crc, par, late): each conversation's turns from 0 by turn.
 
-    crc is that of the text in UTF-8.  Null turns come first; equal turns are
+    crc is that of the text in UTF-8, par the parent's place, late the turn's
+    thresholds.  Null turns come first; equal turns are
     ordered by a hash of their texts, repeated rows as they come.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -136,7 +137,7 @@ def number_turns(conversations: DataFrame) -> DataFrame:
     sums = sums.select(*_CONV, "part", _before(sums, F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy(*_CONV, "part").orderBy(*order)) - 1
     numbered = rows.join(sums, [*_CONV, "part"]).withColumn("p", F.col("before") + own)
-    return materialise(numbered.select(*_NODE, "turn", "crc"), "numbered")
+    return materialise(numbered.select(*_NODE, "turn", "crc", parent().alias("par"), thresholds().alias("late")), "numbered")
 
 
 def contract(nodes: DataFrame) -> list[DataFrame]:
@@ -180,11 +181,10 @@ def expand(taken: list[DataFrame]) -> DataFrame:
 def _attempted(turns: DataFrame, values: DataFrame) -> DataFrame:
     """Adds status, attempts, first_at and last_at, from the delivery of each turn's own parent."""
     start = F.greatest(arrival(), F.col("start"))  # null of a root counts for nothing
-    nth = F.least(*[F.when(F.col("first") >= t, a + 1) for a, t in enumerate(thresholds())])
-    rows = turns.withColumn("par", parent())
+    nth = F.least(*[F.when(F.col("first") >= F.col("late")[a], a + 1) for a in range(ATTEMPTS)])
     parents = values.withColumnsRenamed({"p": "par", "at": "start"})
-    below = rows.where("par IS NOT NULL").join(parents, [*_CONV, "par"])
-    rows = rows.where("par IS NULL").withColumn("start", F.lit(None).cast("long")).unionByName(below)
+    below = turns.where("par IS NOT NULL").join(parents, [*_CONV, "par"])
+    rows = turns.where("par IS NULL").withColumn("start", F.lit(None).cast("long")).unionByName(below)
     rows = rows.withColumn("first", F.when(F.col("par").isNull() | F.col("start").isNotNull(), start)).withColumn("nth", nth)
     status = F.when(F.col("first").isNull(), "blocked").when(F.col("nth").isNull(), "dead").otherwise("delivered")
     attempts = F.when(F.col("first").isNull(), 0).otherwise(F.coalesce("nth", F.lit(ATTEMPTS)))
@@ -221,7 +221,7 @@ def replay(conversations: DataFrame) -> DataFrame:
     if turns.isEmpty():
         values = turns.select(*_NODE, F.lit(None).cast("long").alias("at"))
     else:
-        values = expand(contract(turns.select(*_NODE, parent().alias("par"), delivery_function().alias("f"))))
+        values = expand(contract(turns.select(*_NODE, "par", delivery_function().alias("f"))))
     rows = materialise(_attempted(turns, values), "attempted")
     released = rows.where("status = 'delivered'")
     others = rows.where("status <> 'delivered'").withColumns({"release_no": F.lit(None).cast("long"), "state": F.lit(None).cast("long")})

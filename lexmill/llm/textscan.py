@@ -64,12 +64,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(column: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``piece_bytes`` of text each, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = np.cumsum(sizes)
+    return ranges(pc.fill_null(pc.binary_length(column), 0), piece_bytes)
+
+
+def ranges(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about ``most``, one row at least."""
+    at = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
     low = 0
     while low < len(at):
         before = at[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(at, before + piece_bytes, "right")))
+        high = max(low + 1, int(np.searchsorted(at, before + most, "right")))
         yield low, high
         low = high
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from conftest import SF_DIR
@@ -37,8 +38,24 @@ def test_odd_texts_and_pretokens(content):
     texts = ["".join(rnd.choice("ab  \n\t\r'st12½é漢字́\x00\x1c\x85İßΣ😀　_,.<|endoftext|>") for _ in range(rnd.randint(0, 80))) for _ in range(500)]
     texts += ["x" * 100_000, " " * 5000, "na" * 40_000, "<|endoftext|>", "'s'S it's", "\n\n\n"]
     for text in texts:
-        ids = [i for part in codec.encode(text) for i in part]
-        assert ids == encoding.encode_ordinary(text) and codec.decode(ids) == text.encode()
+        ids = [int(i) for part in codec.encode(text) for i in part]
+        assert ids == encoding.encode_ordinary(text) and codec.text_of(np.array(ids, np.int32)) == text.encode()
+
+
+def test_long_texts_are_cut_where_no_pretoken_is(content, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CHUNK", 7)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 50)
+    codec, encoding, rnd = byte_bpe.Codec(content), reference(content), random.Random(3)
+    for _ in range(400):
+        text = "".join(rnd.choice("ab  \n\n\t\u3000\x85'st12é漢._") for _ in range(rnd.randint(0, 120)))
+        assert [int(i) for part in codec.encode(text) for i in part] == encoding.encode_ordinary(text)
+
+
+def test_ids_that_are_none(content):
+    codec = byte_bpe.Codec(content)
+    for ids in ([50256], [-1], [10**6]):
+        with pytest.raises(ValueError, match="vocabulary"):
+            codec.text_of(np.array(ids, np.int32))
 
 
 def test_every_token_is_reached_by_merges(content):
@@ -53,8 +70,8 @@ def test_ranks_with_gaps(spark):
     content = b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in ranks.items())
     codec, encoding = byte_bpe.Codec(content), reference(content)
     for text in ("abc abcbc", "cab bcabc", "zzabz"):
-        ids = [i for part in codec.encode(text) for i in part]
-        assert ids == encoding.encode_ordinary(text) and codec.decode(ids) == text.encode()
+        ids = [int(i) for part in codec.encode(text) for i in part]
+        assert ids == encoding.encode_ordinary(text) and codec.text_of(np.array(ids, np.int32)) == text.encode()
     with pytest.raises(ValueError, match="single bytes"):
         byte_bpe.serialise({b"a": 0})
 

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from conftest import SF_DIR
 
-from lexmill.llm import decontam, langid, line_dedup, mixing, quality, sharding, simhash, substring, token_counts, warc
+from lexmill.llm import byte_bpe, decontam, langid, line_dedup, mixing, quality, sharding, simhash, substring, token_counts, warc
 from lexmill.llm.queries import RANKS
 
 CLASH = ["words", "key", "keys", "h", "bytes", "mark", "id", "kept", "prefix", "n", "fp", "common", "rank", "target", "position"]
@@ -49,6 +49,7 @@ OPERATORS = {
     "simhash": lambda s, d: simhash.simhash_components(d),
     "substring": lambda s, d: substring.remove_repeated_passages(d),
     "token_counts": lambda s, d: token_counts.recount(d, ranks()),
+    "byte_bpe": lambda s, d: byte_bpe.round_trip(d, ranks()),
     "warc": lambda s, d: warc.round_trip(d.selectExpr("doc_id AS page_id", "source AS url", "text AS html", *CLASH)),
 }
 
