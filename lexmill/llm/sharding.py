@@ -15,8 +15,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .shared import counted_join, materialise, shared_folder
 
@@ -144,38 +146,55 @@ def shards(docs: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return _placed(materialise(rows, "hashes"), max_bytes).select("doc_id", F.col("bytes").alias("n_bytes"), "shard", "depth", "page", "shard_bytes")
 
 
+def file_order(docs: DataFrame) -> Column:
+    """A long that grows along a written table: by the number in its files' names, then by row.
+
+    Parts are written in order, so of a table sorted in ranges this is the sort
+    order.  Of rows that come from no file it is the order of their partitions.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(part, 40) + F.col("_metadata.row_index")
+
+
 def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> list[str]:
-    """Writes all rows and columns of ``docs`` as Parquet, a folder for each shard and page; returns the two folder columns' names.
+    """Writes all rows and columns of ``docs`` as Parquet, a folder for each shard and page; returns the names of the three columns it adds.
 
-    Those are shard (the letter b and the shard's bits) and page, with
-    underscores before them where ``docs`` has such a column.  Rows are placed
-    by their own text, so doc_ids may repeat or be null; repeated rows are all
-    written.  An empty table writes no folder.
+    Those are shard (the letter b and the shard's bits), page, and seq, the
+    row's place in the order of ``docs`` (see ``file_order``), by which a file
+    is sorted; with underscores before them where ``docs`` has such a column.
+    Rows are placed by their own text, so doc_ids may repeat or be null;
+    repeated rows are all written.  An empty table writes no folder.
     """
     taken = {c.lower() for c in docs.columns}
     names = []
-    for name in ("shard", "page"):
+    for name in ("shard", "page", "seq"):
         while name in taken:
             name = "_" + name
         names.append(name)
-    placed = _placed(_hashed(docs), max_bytes)
+    placed = _placed(_hashed(docs.select("*", file_order(docs).alias(names[2]))), max_bytes)
     placed = placed.select("__doc.*", F.concat(F.lit("b"), "shard").alias(names[0]), F.col("page").alias(names[1]))
-    placed.repartition(*names).write.partitionBy(*names).parquet(path)
+    placed.repartition(*names[:2]).sortWithinPartitions(*names).write.partitionBy(*names[:2]).parquet(path)
     return names
 
 
-def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A written table with the columns of ``schema`` (DDL, folder columns included); no rows where nothing was written."""
+def read_shards(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """A written table with the columns of ``schema`` (folder columns included); no rows where nothing was written."""
     return spark.read.schema(schema).parquet(path)
 
 
-def sharded(docs: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Writes the shards of ``docs`` to the shared folder and returns what reading them gives: the columns of ``shards``, from the files."""
+def sharded(docs: DataFrame, max_bytes: int = MAX_BYTES, path: str | None = None) -> DataFrame:
+    """Writes the shards of ``docs``, with all its columns, to ``path`` (a new folder of the shared one) and returns what reading them gives: the columns of ``shards``, from the files."""
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/shards"
-    write_shards(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), path, max_bytes)
-    rows = read_shards(spark, path, "doc_id long, text string, shard string, page int")
-    rows = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr("substring(shard, 2)").alias("shard"), "page")
+    path = path or f"{shared_folder(spark)}/shards"
+    shard, page, _ = write_shards(docs, path, max_bytes)
+    own = [f for f in docs.schema.fields if f.name in ("doc_id", "text")]
+    rows = read_shards(spark, path, StructType([*own, StructField(shard, StringType()), StructField(page, IntegerType())]))
+    bytes_ = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_.alias("n_bytes"), F.expr(f"substring(`{shard}`, 2)").alias("shard"), F.col(page).alias("page"))
     sums = materialise(rows.groupBy("shard", "page").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("n")), "sums")
     out = counted_join(rows, sums, ["shard", "page"], "n", ["doc_id"])
     return out.select("doc_id", "n_bytes", "shard", F.length("shard").alias("depth"), "page", "shard_bytes")

@@ -77,7 +77,7 @@ def test_written_shards_hold_all_rows_and_columns(spark):
     rows = [(1, "x" * 600, "s", 0)] * 5 + [(1, "other", None, 1), (None, None, "p", 2), (None, "a", "p", 3)] + [(i, f"text {i} " * 20, "q", i) for i in range(40)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, shard string, page int").repartition(3)
     path = f"{shared_folder(spark)}/out"
-    assert sharding.write_shards(frame, path, 1000) == ["_shard", "_page"]
+    assert sharding.write_shards(frame, path, 1000) == ["_shard", "_page", "seq"]
     back = sharding.read_shards(spark, path, "doc_id long, text string, shard string, page int, _shard string, _page int").collect()
     assert sorted(map(repr, (tuple(r)[:4] for r in back))) == sorted(map(repr, rows))
     held = defaultdict(list)
