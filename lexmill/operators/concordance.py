@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
+from dataclasses import dataclass
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import Profile, apply_profile
@@ -24,21 +27,103 @@ def _hits(text: Column, pattern: str, limit: int) -> Column:
 
 def _contexts(rows: DataFrame, width: int) -> DataFrame:
     """Adds left and right context to (text, start, match)."""
-    low = F.greatest(F.lit(0), F.col("start") - width)
-    end = F.col("start") + F.length("match")
-    return rows.withColumn("left", F.substring("text", low + 1, F.col("start") - low)).withColumn("right", F.substring("text", end + 1, F.lit(width)))
+    left, right = _around(F.col("text"), F.struct("start", "match"), width)
+    return rows.withColumn("left", left).withColumn("right", right)
+
+
+def _around(text: Column, hit: Column, width: int) -> tuple[Column, Column]:
+    low, end = F.greatest(F.lit(0), hit["start"] - width), hit["start"] + F.length(hit["match"])
+    return F.substring(text, low + 1, hit["start"] - low), F.substring(text, end + 1, F.lit(width))
 
 
 def kwic(docs: DataFrame, query: str, width: int = 72, limit: int = 100) -> DataFrame:
     """The first hits of a literal, in any case, by document and place: id, start, left, match, right.
 
-    The query is stripped; an empty one has no hits.
+    The query is stripped; an empty one has no hits.  Hits are cut out of each
+    text before any are compared, so what goes to one task are at most
+    ``limit`` hits from each other task, not texts.
     """
     query = query.strip()
     pattern = "(?iu)" + re.escape(query)
     docs = docs.where(F.col("text").rlike(pattern)) if query else docs.where(F.lit(False))
-    rows = docs.orderBy("id").limit(limit).select("id", "text", F.explode(_hits(F.col("text"), pattern, limit)).alias("h"))
-    return _contexts(rows.select("id", "text", "h.*"), width).orderBy("id", "start").limit(limit).select("id", "start", "left", "match", "right")
+    rows = docs.select("id", "text", _hits(F.col("text"), pattern, limit).alias("hits"))
+
+    def cut(hit: Column) -> Column:
+        left, right = _around(F.col("text"), hit, width)
+        return F.struct(hit["start"].alias("start"), left.alias("left"), hit["match"].alias("match"), right.alias("right"))
+
+    return rows.select("id", F.explode(F.transform("hits", cut)).alias("h")).select("id", "h.*").orderBy("id", "start").limit(limit)
+
+
+@cache
+def _case_pairs() -> tuple[str, str]:
+    """Characters that matching in any case takes for others than their lower case, and those."""
+    pairs = []
+    for c in map(chr, range(0x80, 0x10000)):
+        if not "\ud800" <= c <= "\udfff":
+            upper = c.upper() if len(c.upper()) == 1 else c
+            low = upper.lower() if len(upper.lower()) == 1 else upper.lower()[:1]
+            if low != c.lower():
+                pairs.append((c, low))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def grams(text: Column) -> tuple[Column, Column]:
+    """A text's characters, alike for texts that differ in case, and, over a column ``chars`` of these, its distinct runs of three."""
+    chars = F.split(F.lower(F.translate(text, *_case_pairs())), "", -1)
+    later = lambda k: F.slice("chars", F.lit(k), F.greatest(F.size("chars"), F.lit(1)))
+    beside = F.zip_with(F.zip_with("chars", later(2), lambda a, b: F.concat(a, b)), later(3), lambda a, b: F.concat(a, b))
+    return chars, F.array_distinct(F.filter(beside, lambda g: F.length(g) == 3))
+
+
+@dataclass
+class GramIndex:
+    """Which documents have which runs of three characters, as two bucketed tables in a folder that all executors share.
+
+    postings (gram, id) by gram, texts (id, text) by id.  ``drop`` forgets
+    their names; the folder is the caller's.
+    """
+
+    spark: SparkSession
+    postings: str
+    texts: str
+
+    #: Candidates whose ids are put into the filter of the texts' scan, so that other buckets and row groups are not read.
+    FEW = 1000
+
+    def drop(self) -> None:
+        for name in (self.postings, self.texts):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def candidates(self, query: str) -> DataFrame:
+        """(id) of the documents that have every run of three of the query, so all in which it can be found."""
+        chars, found = grams(F.lit(query))
+        wanted = self.spark.range(1).select(chars.alias("chars")).select(found.alias("g")).first().g
+        held = self.spark.table(self.postings).where(F.col("gram").isin(wanted))
+        return held.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("id")
+
+    def kwic(self, query: str, width: int = 72, limit: int = 100) -> DataFrame:
+        """As ``kwic`` over the texts, of which only candidates are read; a query of fewer than three characters reads all."""
+        query, texts = query.strip(), self.spark.table(self.texts)
+        if len(query) >= 3:
+            found = self.candidates(query).persist()
+            few = [r.id for r in found.limit(self.FEW + 1).collect()]
+            texts = texts.where(F.col("id").isin(few)) if len(few) <= self.FEW else texts.join(found, "id")
+        return kwic(texts, query, width, limit)
+
+
+def gram_index(docs: DataFrame, path: str, buckets: int = 16) -> GramIndex:
+    """Writes the index of (id, text) to ``path``."""
+    spark, key = docs.sparkSession, uuid.uuid4().hex
+    postings, texts = f"lexmill_grams_{key}", f"lexmill_texts_{key}"
+
+    def write(rows: DataFrame, by: str, name: str) -> None:
+        rows.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", f"{path}/{name}").saveAsTable(name)
+
+    write(docs.select("id", "text"), "id", texts)
+    chars, found = grams(F.coalesce("text", F.lit("")))
+    write(docs.select("id", chars.alias("chars")).select("id", F.explode(found).alias("gram")), "gram", postings)
+    return GramIndex(spark, postings, texts)
 
 
 def family_contexts(docs: DataFrame, families: dict[str, list[str]], profile: Profile = Profile(), width: int = 58, limit: int = 3) -> DataFrame:

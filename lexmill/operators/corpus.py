@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,9 +157,28 @@ def report_runs(runs: DataFrame) -> DataFrame:
     return runs.where((F.col("kind") == "pipeline") & (F.coalesce(url, F.lit("")) != ""))
 
 
+def log_run(spark: SparkSession, path: str, kind: str, ids: list[int], parameters: dict) -> int:
+    """Appends a run to the log, a Parquet table at ``path`` that need not exist yet; its id is one more than the largest.
+
+    The log has one writer, as two at once would take the same id.
+    """
+    try:
+        runs = spark.read.schema(RUN_SCHEMA).parquet(path)
+    except AnalysisException:
+        runs = spark.createDataFrame([], RUN_SCHEMA)
+    last = runs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    append_run(runs, kind, ids, parameters).where(F.col("id") > last).select(*runs.columns).coalesce(1).write.mode("append").parquet(path)
+    return last + 1
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The runs of a log that ``log_run`` wrote."""
+    return spark.read.schema(RUN_SCHEMA).parquet(path)
+
+
 def run_by_id(runs: DataFrame, run_id: int) -> DataFrame:
-    """One run with its ids as an array and its parameters as a map; broken JSON gives empty ones."""
-    parameters = F.coalesce(F.from_json("parameters", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """One run with its ids as an array and its parameters as a variant, nested values and lists as they are; broken JSON gives an empty array or object."""
+    parameters = F.coalesce(F.try_parse_json("parameters"), F.parse_json(F.lit("{}")))
     return decoded_runs(runs.where(F.col("id") == run_id)).withColumn("parameters", parameters)
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import Profile, apply_profile, normalize_whitespace
+from .functions.text import TOKEN, Profile, apply_profile, normalize_whitespace
 from .operators import conllu, concordance, corpus, diff, features, lexicon, passages, terms, views
-from .sources import exports
+from .sources import datasources, exports
 
 #: A vocabulary for the test data: single words, a sequence, and one that never occurs.
 FAMILIES = {"articles": ["the", "der", "die", "la", "le"], "joining": ["and", "und", "et", "of the", "in the"], "place": ["in", "on", "de la"], "absent": ["zzyzx"]}
@@ -18,6 +19,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 docs = corpus.load
 
 
+def shared_folder(s: SparkSession) -> str:
+    """A new folder in that of ``spark.checkpoint.dir``, or of the warehouse where that is unset."""
+    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or s.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+
+
 def _features(kind: str, number: int = 100) -> Query:
     return lambda s, d: _plain(features.feature_table(docs(s, d), kind, number)).select("id", "feature", "feature_rank", _six("freq"))
 
@@ -71,13 +78,41 @@ def _parsed(s: SparkSession, d: str) -> DataFrame:
     return conllu.read_conllu(conllu.to_conllu(docs(s, d)))
 
 
+def sentences_of_ten(found: DataFrame) -> DataFrame:
+    """(conllu): documents as sentences of ten tokens with relations and features by place, the first word of each heading a range."""
+    each = found.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "form"))
+    at = (F.col("pos") % 10 + 1).alias("at")
+    relation = F.element_at(F.array(*map(F.lit, RELATIONS)), (F.col("pos") % 10 + 1).cast("int"))
+    head = F.when(F.col("pos") % 10 == 1, "0").otherwise("2")
+    line = F.concat_ws("\t", at.cast("string"), "form", F.lower("form"), F.lit("X"), F.lit("_"), F.when(at == 1, "Case=Nom|Number=Sing|Case=Acc").otherwise("_"), head, relation, F.lit("_"), F.lit("_"))
+    line = F.when(at == 1, F.concat(F.lit("1-2\tx\t_\t_\t_\t_\t_\t_\t_\t_\n"), line, F.lit("\n1.1\te\t_\t_\t_\t_\t_\t_\t_\t_"))).otherwise(line)
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"])
+    blocks = each.groupBy("id", F.floor(F.col("pos") / 10).alias("sent")).agg(F.array_join(lines, "\n").alias("block"))
+    block = F.concat(F.lit("# sent_id = "), "id", F.lit("-"), "sent", F.lit("\n"), "block", F.lit("\n\n"))
+    # A file for each document.
+    texts = blocks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("sent", block.alias("block")))).alias("b"))
+    return texts.select(F.array_join(F.transform("b", lambda x: x["block"]), "").alias("conllu"))
+
+
+def _written_overview(s: SparkSession, d: str) -> DataFrame:
+    """Documents written as CoNLL-U files, read again by byte ranges, with the words of each sentence's parts and the subject's features."""
+    path = f"{shared_folder(s)}/conllu"
+    datasources.write_files(sentences_of_ten(docs(s, d)), path, ".conllu")
+    parsed = conllu.read_conllu(datasources.read_sentences(s, path, 1 << 16).select(F.col("sent_id").alias("id"), "conllu"))
+    subject = parsed.where("token_id = 1").select("id", conllu.feature_label(F.col("features")).alias("features"))
+    return conllu.overview(parsed).join(subject, "id").select("id", "bucket", "forms", "features")
+
+
+#: Relations of the ten tokens of a sentence, for the query of written files.
+RELATIONS = ("nsubj", "root", "obj", "dep", "advcl", "dep", "obl:arg", "nsubj:pass", "punct", "xcomp")
+
 QUERIES: dict[str, Query] = {
     "doc_search": lambda s, d: corpus.search(docs(s, d), SEARCH).select("id", "title"),
     "doc_request_order": lambda s, d: corpus.in_request_order(docs(s, d), ORDER).select("pos", "id", "title"),
     "doc_by_ids": lambda s, d: corpus.by_ids(docs(s, d), ORDER).select("id", "title"),
     "doc_warnings": lambda s, d: corpus.warnings(docs(s, d)),
     "annotations_of_document": lambda s, d: corpus.annotations_of(_spans(s, d), 7),
-    "run_lookup": lambda s, d: corpus.run_by_id(_runs(s, d).withColumn("parameters", F.lit("{broken")), 11).select("id", "kind", F.array_join(F.transform("document_ids", lambda x: x.cast("string")), ",").alias("ids"), F.cardinality("parameters").cast("long").alias("n_parameters")),
+    "run_lookup": lambda s, d: corpus.run_by_id(_runs(s, d).withColumn("parameters", F.lit("{broken")), 11).select("id", "kind", F.array_join(F.transform("document_ids", lambda x: x.cast("string")), ",").alias("ids"), F.coalesce(F.json_array_length(F.to_json("parameters")), F.size(F.json_object_keys(F.to_json("parameters")))).cast("long").alias("n_parameters")),
     "token_offsets": lambda s, d: lexicon.token_offsets(docs(s, d)).select("id", F.col("pos").cast("long").alias("pos"), "term", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")),
     "frequency_rates": lambda s, d: lexicon.frequency_table(docs(s, d), content_only=True),
     "lemma_layers": lambda s, d: _layers(s, d).select("id", "source", "coverage", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("md5")),
@@ -101,6 +136,7 @@ QUERIES: dict[str, Query] = {
     "lexicon_summary": lambda s, d: lexicon.summary(docs(s, d)),
     "collocations_top15": lambda s, d: lexicon.collocations(docs(s, d)),
     "kwic": lambda s, d: concordance.kwic(docs(s, d), KWIC_QUERY),
+    "kwic_indexed": lambda s, d: concordance.gram_index(docs(s, d), shared_folder(s)).kwic(KWIC_QUERY),
     "term_family_counts": lambda s, d: terms.family_counts(docs(s, d), FAMILIES),
     "term_family_by_author": lambda s, d: terms.by_author(terms.family_counts(docs(s, d), FAMILIES)),
     "term_family_totals": lambda s, d: terms.totals(terms.family_counts(docs(s, d), FAMILIES), list(FAMILIES)),
@@ -123,6 +159,7 @@ QUERIES: dict[str, Query] = {
     "conllu_tokens": lambda s, d: _parsed(s, d).select("id", F.col("token_id").cast("long").alias("token_id"), "form", "lemma", F.col("head").cast("long").alias("head"), "relation"),
     "head_lookup": lambda s, d: conllu.heads(_parsed(s, d)).select("id", F.col("token_id").cast("long").alias("token_id"), "form", "head_form"),
     "sentence_overview": lambda s, d: conllu.overview(_parsed(s, d)).select("id", "bucket", "forms"),
+    "conllu_files": _written_overview,
     "annotation_spans": lambda s, d: corpus.merged_spans(_spans(s, d)),
     "tei_export": lambda s, d: exports.tei(docs(s, d)).select("id", F.md5("xml").alias("md5")),
     "text_export": lambda s, d: exports.text_files(docs(s, d)).select("id", "file_name", F.md5("content").alias("md5")),
@@ -289,3 +326,9 @@ SQL: dict[str, str] = {
     "corpus_audit": f"""WITH {_ARR}, {_DOCS} SELECT d.genre, count(*) AS documents, count(DISTINCT d.author) AS authors, count(*) FILTER (len(a.t) < 1000) AS short_documents,
         bool_or(regexp_matches(d.title || ' ' || d.author, '(?i)src1')) AS has_name FROM docs d JOIN arr a ON a.id = d.id GROUP BY d.genre""",
 }
+SQL["kwic_indexed"] = SQL["kwic"]
+_BUCKETS = {"nsubj": "subject", "root": "root", "obj": "object", "obl:arg": "object", "advcl": "subordinate", "nsubj:pass": "subject", "xcomp": "subordinate"}
+SQL["conllu_files"] = rf"""WITH forms AS (SELECT doc_id AS id, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS t FROM documents),
+    each AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS pos FROM forms),
+    named AS (SELECT id || '-' || pos // 10 AS id, pos, form, CASE pos % 10 {" ".join(f"WHEN {i} THEN '{_BUCKETS[r]}'" for i, r in enumerate(RELATIONS) if r in _BUCKETS)} END AS bucket FROM each)
+    SELECT id, bucket, string_agg(form, ' ' ORDER BY pos) AS forms, 'numero: singolare · caso: accusativo' AS features FROM named WHERE bucket IS NOT NULL GROUP BY id, bucket"""

@@ -133,7 +133,7 @@ def test_layers_use_lemmas_of_words_without_heads(spark):
     assert [(r.form, r.features) for r in strict] == [("Terram", {"Number": "Sing", "Case": "Gen"}), ("qui", {"Foo": "Bar"}), ("et", {})]
     assert {(r.sent, r.bucket): r.forms for r in conllu.overview(conllu.read_conllu(docs)).collect()} == {(0, "object"): "Terram", (0, "subject"): "qui", (1, "subordinate"): "et"}
     labels = conllu.read_conllu(docs).where("form <> 'et'").select("form", conllu.feature_label(F.col("features")).alias("l")).collect()
-    assert {r.form: set(r.l.split(", ")) for r in labels} == {"Terram": {"numero: singolare", "caso: genitivo"}, "qui": {"Foo: Bar"}}
+    assert {r.form: set(r.l.split(" · ")) for r in labels} == {"Terram": {"numero: singolare", "caso: genitivo"}, "qui": {"Foo: Bar"}}
     family = [terms.Family("land", ("terra", "fundus"), ("terra",), "Land"), terms.Family("none", ("zz",))]
     report = terms.report(docs, conllu.token_layer(docs), family).collect()
     assert [(r.family, r.id, r.total, r.cnt, r.terms, r.source) for r in report] == [("land", 0, 1, 1, ["terra"], "lemmas_conllu"), ("land", 1, 1, 0, ["terra", "fundus"], "forms"), ("none", 0, 0, 0, ["zz"], "lemmas_conllu"), ("none", 1, 0, 0, ["zz"], "forms")]
@@ -221,8 +221,8 @@ def test_diffs_are_those_of_whole_texts(spark):
 
 def test_merges_are_those_of_average_linkage(spark):
     rng = np.random.default_rng(3)
-    x = rng.random((14, 6))
-    table = rows(spark, [(i, f"f{j}", j, float(x[i, j])) for i in range(14) for j in range(6)], "id long, feature string, feature_rank int, freq double")
+    x = rng.integers(0, 1000, (14, 6))
+    table = rows(spark, [(i, f"f{j}", j, int(x[i, j])) for i in range(14) for j in range(6)], "id long, feature string, feature_rank int, cnt long")
     cosine = lambda i, j: np.floor((1 - x[i] @ x[j] / np.sqrt((x[i] @ x[i]) * (x[j] @ x[j]))) * 1e4 + 0.5) / 1e4
     groups, expected = [[i] for i in range(14)], []
     while len(groups) > 1:
