@@ -189,9 +189,9 @@ def with_status(modules: DataFrame, statuses: DataFrame) -> DataFrame:
 
 def warnings(docs: DataFrame, short: int = 1000) -> DataFrame:
     """(warning, detail): short documents by title, several periods, several genres, fewer than three documents."""
-    n = F.size(tokenize(F.col("text")))
+    docs = docs.select("period", "genre", F.size(tokenize(F.col("text"))).alias("tokens"))
     known = lambda c: F.count_distinct(F.nullif(F.col(c), F.lit("")))
-    figures = docs.agg(F.count("*").alias("n"), known("period").alias("periods"), known("genre").alias("genres"), F.count_if(n < short).alias("short"))
+    figures = docs.agg(F.count("*").alias("n"), known("period").alias("periods"), known("genre").alias("genres"), F.count_if(F.col("tokens") < short).alias("short"))
     cases = [("short", F.col("short") > 0, "short"), ("periods", F.col("periods") > 1, "periods"), ("genres", F.col("genres") > 1, "genres"), ("few", F.col("n") < 3, "n")]
     rows = F.filter(F.array(*[F.struct(F.lit(k).alias("warning"), F.when(c, F.col(d)).cast("long").alias("detail")) for k, c, d in cases]), lambda x: x["detail"].isNotNull())
     return figures.select(F.explode(rows).alias("w")).select("w.*")
@@ -226,10 +226,10 @@ def merged_spans(annotations: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, name: str = "src1") -> DataFrame:
     """Counts by genre: documents, authors, short documents and whether a title or author has a name in it, in any case."""
-    n = F.size(tokenize(F.col("text")))
+    docs = docs.select("genre", "title", "author", F.size(tokenize(F.col("text"))).alias("tokens"))
     return docs.groupBy("genre").agg(
         F.count("*").alias("documents"),
         F.count_distinct("author").alias("authors"),
-        F.sum((n < 1000).cast("long")).alias("short_documents"),
+        F.sum((F.col("tokens") < 1000).cast("long")).alias("short_documents"),
         F.max(F.lower(F.concat_ws(" ", "title", "author")).contains(name.lower())).alias("has_name"),
     )
