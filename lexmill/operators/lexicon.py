@@ -65,7 +65,7 @@ def trigram_counts(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
 
 def passage_rows(docs: DataFrame) -> DataFrame:
     """(id, passage_idx, passage)."""
-    return docs.select("id", F.posexplode(passages(F.col("text"))).alias("passage_idx", "passage"))
+    return by_document(docs).select("id", F.posexplode(passages(F.col("text"))).alias("passage_idx", "passage"))
 
 
 def moving_type_ratio(places: Column, n: Column, window: int = 50) -> Column:
@@ -85,8 +85,8 @@ def moving_type_ratio(places: Column, n: Column, window: int = 50) -> Column:
 
 
 def summary(docs: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """One row a document: counts, mean lengths, type ratios and warnings. All of it comes from the row itself."""
-    rows = docs.select("id", F.size(passages(F.col("text"))).cast("long").alias("sentence_count"), tokenize(F.col("text"), profile).alias("t"))
+    """One row a document: counts, mean lengths, type ratios and warnings. All of it comes from the row itself; texts are dealt out once, as files may have few row groups."""
+    rows = by_document(docs).select("id", F.size(passages(F.col("text"))).cast("long").alias("sentence_count"), tokenize(F.col("text"), profile).alias("t"))
     placed = F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("pos")))
     letters = F.length(F.array_join("t", "")).cast("long")
     rows = rows.select("id", "sentence_count", F.size("t").alias("n"), letters.alias("letters"), F.size(F.array_distinct("t")).cast("long").alias("type_count"), F.array_sort(placed).alias("places"))

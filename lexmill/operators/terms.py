@@ -131,7 +131,8 @@ def matches(rows: DataFrame, found: Trie, keys: list[str]) -> DataFrame:
 
 
 def _tokenised(docs: DataFrame, profile: Profile, *keep: str) -> DataFrame:
-    return docs.select("id", *keep, tokenize(F.col("text"), profile).alias("t"))
+    # Dealt by id, so that what is counted by document needs no further shuffle.
+    return docs.select("id", *keep, "text").repartition("id").select("id", *keep, tokenize(F.col("text"), profile).alias("t"))
 
 
 def _hits(rows: DataFrame, wanted: list[tuple[str, str]], profile: Profile) -> DataFrame:
