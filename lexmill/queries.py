@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import TOKEN, Profile, apply_profile, normalize_whitespace
-from .operators import conllu, concordance, corpus, diff, features, lexicon, passages, terms, views
+from .operators import conllu, concordance, corpus, diff, features, lexicon, nearest, passages, terms, views
 from .sources import datasources, exports
 
 #: A vocabulary for the test data: single words, a sequence, and one that never occurs.
@@ -66,12 +66,12 @@ def _report(s: SparkSession, d: str) -> DataFrame:
 
 def _nearest(s: SparkSession, d: str) -> DataFrame:
     table = features.feature_table(docs(s, d))
-    near = features.pair_distances(table).orderBy("delta", "left_id", "right_id").limit(8)
+    near = nearest.nearest_pairs(table, 8, shared_folder(s))
     return views.distance_table(near, features.contributors(table, near)).withColumn("features", F.array_join("features", " "))
 
 
-def _affinity(s: SparkSession, d: str) -> DataFrame:
-    return features.pair_distances(features.feature_table(docs(s, d), "content", 120))
+def _content_table(s: SparkSession, d: str) -> DataFrame:
+    return features.feature_table(docs(s, d), "content", 120)
 
 
 def _parsed(s: SparkSession, d: str) -> DataFrame:
@@ -122,8 +122,8 @@ QUERIES: dict[str, Query] = {
     "term_top_total": lambda s, d: terms.top_total(terms.totals(terms.family_counts(docs(s, d), FAMILIES), list(FAMILIES)), 2),
     "term_counted": lambda s, d: terms.counted_terms(docs(s, d), FAMILIES, k=2),
     "nearest_pairs_top8": _nearest,
-    "affinity_top8": lambda s, d: views.affinity_table(_affinity(s, d)),
-    "affinity_close": lambda s, d: views.close_pairs(_affinity(s, d), 0.05).select("left_id", "right_id", "cosine"),
+    "affinity_top8": lambda s, d: views.affinity_table(nearest.nearest_pairs(_content_table(s, d), 8, shared_folder(s), "cosine")),
+    "affinity_close": lambda s, d: nearest.pairs_within(_content_table(s, d), 0.05, shared_folder(s)).select("left_id", "right_id", "cosine"),
     "shared_cluster_terms": lambda s, d: features.shared_terms(lexicon.content(lexicon.counts(lexicon.tokens(docs(s, d)))), *GROUPS),
     "corpus_text": lambda s, d: exports.corpus_text(docs(s, d).where(F.col("id").isin(ORDER))).select(F.md5("text").alias("md5")),
     "doc_serialized": lambda s, d: corpus.serialized(docs(s, d)),
