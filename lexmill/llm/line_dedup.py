@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, counted_join, lower_ascii, shared_folder
+from .shared import BLANKS, counted_join, lower_ascii, materialise, shared_folder
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -112,9 +112,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # Rows are numbered within a written table, so that rows that repeat have numbers of their own, also when a task runs again.
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), "rows")
     lines = F.split(lower_ascii(F.col("text")), "\n", -1)
-    keyed = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.array_distinct(line_keys(lines)).alias("keys"))
+    keyed = rows.select(F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int").alias("batch"), F.array_distinct(line_keys(lines)).alias("keys"))
     each = keyed.select("batch", F.explode("keys").alias("key")).where(F.length("key") >= min_chars)
     counted = each.select("batch", *_key_hashes(F.col("key"))).groupBy("batch", "h1", "h2").agg(F.count("*").alias("n_docs"))
     path = shared_folder(spark)
@@ -125,13 +126,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
         runs.merged().where(F.col("n_docs") >= min_docs).write.parquet(f"{path}/common")
     common = spark.read.schema("h1 long, h2 long, n_docs long").parquet(f"{path}/common").withColumn("common", F.lit(True))
 
-    mark = F.xxhash64("text").alias("mark")
-    placed = rows.select("doc_id", mark, F.posexplode(line_keys(lines)).alias("at", "key")).where(F.length("key") >= min_chars)
-    placed = placed.select("doc_id", "mark", "at", *_key_hashes(F.col("key")))
-    gone = counted_join(placed, common, ["h1", "h2"], "n_docs", ["doc_id", "at"]).where("common")
-    per_text = gone.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.collect_set("at").alias("gone"))
-    rows = rows.withColumn("mark", mark)
-    joined = rows.join(per_text, (rows.doc_id.eqNullSafe(per_text.id)) & (rows.mark == per_text.mark), "left").select("doc_id", "text", "gone")
+    placed = rows.select("row", F.posexplode(line_keys(lines)).alias("at", "key")).where(F.length("key") >= min_chars)
+    placed = placed.select("row", "at", *_key_hashes(F.col("key")))
+    gone = counted_join(placed, common, ["h1", "h2"], "n_docs", ["row", "at"]).where("common")
+    per_row = gone.groupBy("row").agg(F.collect_set("at").alias("gone"))
+    joined = rows.join(per_row, "row", "left").select("doc_id", "text", "gone")
     split = joined.select("doc_id", F.split("text", "\n", -1).alias("lines"), "text", "gone")
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n"))

@@ -257,3 +257,18 @@ def test_verdicts_are_those_of_the_plain_formula(spark):
         absent = distance([0.0] * len(common) + [1.0], [*word_shares, 1 - sum(word_shares)])
         odd |= lang is not None and len(words) >= quality.MIN_WORDS_FOR_ABSENCE and word_distance > quality.MAX_ABSENCE * absent
         assert r.kept == (not r.base_failed and not odd), d
+
+
+def test_rows_that_repeat_are_documents_of_their_own(spark):
+    """A third of all rows are one row; ids repeat and are null; each row loses what ``min_docs`` rows have."""
+    rows = [(7, "Same line\nother\n\n x ")] * 20 + [(None, "same LINE\nown")] * 3 + [(i % 5, f"line {i}\n x\n") for i in range(36)] + [(7, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    number = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")})
+    expected = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not key(x) or number[key(x)] < 10]
+        expected.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    found = line_dedup.drop_common_lines(docs, 10).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
