@@ -36,6 +36,11 @@ def by_ids(docs: DataFrame, ids: list[int] | None) -> DataFrame:
     return (docs.where(F.col("id").isin(ids)) if ids else docs).orderBy("id")
 
 
+def by_id(docs: DataFrame, document_id: int) -> DataFrame:
+    """One document; no row if there is none of that id."""
+    return docs.where(F.col("id") == document_id).limit(1)
+
+
 def in_request_order(docs: DataFrame, ids: list[int], strict: bool = False, distinct: bool = False) -> DataFrame:
     """Documents with ``pos``, in the order of ``ids``.
 
@@ -112,10 +117,11 @@ def delete_annotation(annotations: DataFrame, annotation_id: int) -> DataFrame:
     return annotations.where(F.col("id") != annotation_id)
 
 
-def update_document(docs: DataFrame, document_id: int, **values: str) -> DataFrame:
+def update_document(docs: DataFrame, document_id: int, log: str | None = None, **values: str) -> DataFrame:
     """New metadata or text for one document; raises ValueError without such a document, or for an empty title or text.
 
     New text is normalised again, and the parse is dropped only if it differs.
+    With ``log``, the path of a log of runs, the change is appended to it.
     """
     own = F.col("id") == document_id
     if docs.where(own).isEmpty():
@@ -129,6 +135,9 @@ def update_document(docs: DataFrame, document_id: int, **values: str) -> DataFra
         out |= {c: F.when(differs, "").otherwise(F.col(c)) for c in ("conllu", "conllu_source") if c in docs.columns}
         if "normalized_text" in docs.columns:
             out["normalized_text"] = F.when(own, normalize_whitespace(F.lit(values["text"].strip()))).otherwise(F.col("normalized_text"))
+    if log:
+        changed = "text" in values and not docs.where(own & ~F.col("text").eqNullSafe(F.lit(values["text"].strip()))).isEmpty()
+        log_run(docs.sparkSession, log, "document_edit", [document_id], {"text_changed": changed})
     return docs.withColumns(out)
 
 
@@ -197,12 +206,24 @@ def warnings(docs: DataFrame, short: int = 1000) -> DataFrame:
     return figures.select(F.explode(rows).alias("w")).select("w.*")
 
 
+#: What a listing shows of a document's own columns; absent or null ones are empty.
+LISTED = ("title", "author", "date_label", "period", "place", "genre", "witness", "source_name", "source_hash", "source_type", "notes", "created_at", "conllu_source")
+
+
 def serialized(docs: DataFrame, include_text: bool = False) -> DataFrame:
-    """Listing rows: id, title, author, genre, token_count, has_syntax and the hash of the normalised text; on request the text, as given and normalised."""
-    syntax = F.trim(F.coalesce("conllu", F.lit(""))) != "" if "conllu" in docs.columns else F.lit(False)
-    own = ["id", "title", "author", "genre", F.size(tokenize(F.col("text"))).cast("long").alias("token_count"), F.md5(normalize_whitespace(F.col("text"))).alias("text_md5")]
-    texts = ["text", normalize_whitespace(F.col("text")).alias("normalized_text")] if include_text else []
-    return docs.select(*own, syntax.alias("has_syntax"), *texts)
+    """Listing rows: id, all metadata, is_demo, token_count, has_syntax and the hash of the normalised text.
+
+    On request the text, as given and normalised, and the structure of
+    ``structure_json`` as a variant; broken or absent JSON is an empty list.
+    """
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    demo = F.coalesce(F.col("is_demo").cast("boolean"), F.lit(False)) if "is_demo" in docs.columns else F.lit(False)
+    own = [
+        "id", *[given(c).alias(c) for c in LISTED], demo.alias("is_demo"), F.size(tokenize(given("text"))).cast("long").alias("token_count"),
+        given("conllu").rlike(r"(?U)\S").alias("has_syntax"), F.md5(normalize_whitespace(given("text"))).alias("text_md5"),
+    ]
+    structure = F.coalesce(F.try_parse_json(given("structure_json")), F.parse_json(F.lit("[]"))).alias("structure")
+    return docs.select(*own, *([given("text").alias("text"), normalize_whitespace(given("text")).alias("normalized_text"), structure] if include_text else []))
 
 
 def merged_spans(annotations: DataFrame) -> DataFrame:
@@ -233,3 +254,16 @@ def audit(docs: DataFrame, name: str = "src1") -> DataFrame:
         F.sum((F.col("tokens") < 1000).cast("long")).alias("short_documents"),
         F.max(F.lower(F.concat_ws(" ", "title", "author")).contains(name.lower())).alias("has_name"),
     )
+
+
+def project_audit(docs: DataFrame, name: str = "frontin", modules: int = 0, runnable: int = 0, errors: tuple[str, ...] = ()) -> DataFrame:
+    """One row on the whole project: documents, modules, runtime_modules, catalog_errors, and whether a title or the name of a source matches ``name``, in any case.
+
+    The counts of modules and the errors are the catalog's.
+    """
+    columns = [c for c in ("title", "source_name") if c in docs.columns]
+    has = F.exists(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns]), lambda x: x.rlike(f"(?i){name}"))
+    listed = F.array(*[F.lit(e) for e in errors]).cast("array<string>")
+    return docs.agg(F.count("*").alias("documents"), F.coalesce(F.bool_or(has), F.lit(False)).alias("name_in_documents")).select(
+        "documents", F.lit(modules).cast("long").alias("modules"), F.lit(runnable).cast("long").alias("runtime_modules"), listed.alias("catalog_errors"), "name_in_documents"
+    )

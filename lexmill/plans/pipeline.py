@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Profile
-from ..operators import concordance, features, lexicon, passages, terms
+from ..operators import concordance, features, lexicon, linkage, passages, terms
 
 
 @dataclass
@@ -41,7 +41,7 @@ BUILTIN = {
         Module("kwic", lambda c: {"hits": concordance.kwic(c.docs, c.query)}),
         Module("stylometry", lambda c: {"pairs": features.pair_distances(_tables(c))}, 2),
         Module("passages", lambda c: {"pairs": passages.similar(c.docs, profile=c.profile)}, 2),
-        Module("affinity", lambda c: {"merges": features.clusters(_tables(c, "content"))}, 3),
+        Module("affinity", lambda c: {"merges": linkage.merges(_tables(c, "content"))}, 3),
     )
 }
 

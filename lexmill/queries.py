@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import TOKEN, Profile, apply_profile, normalize_whitespace
-from .operators import conllu, concordance, corpus, diff, features, lexicon, nearest, passages, terms, views
+from .operators import conllu, concordance, corpus, diff, features, lexicon, linkage, nearest, passages, terms, views
 from .sources import datasources, exports
 
 #: A vocabulary for the test data: single words, a sequence, and one that never occurs.
@@ -110,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "doc_search": lambda s, d: corpus.search(docs(s, d), SEARCH).select("id", "title"),
     "doc_request_order": lambda s, d: corpus.in_request_order(docs(s, d), ORDER).select("pos", "id", "title"),
     "doc_by_ids": lambda s, d: corpus.by_ids(docs(s, d), ORDER).select("id", "title"),
+    "doc_lookup": lambda s, d: corpus.by_id(docs(s, d), 7).select("id", "title", "author", "genre", F.md5("text").alias("text_md5")),
     "doc_warnings": lambda s, d: corpus.warnings(docs(s, d)),
     "annotations_of_document": lambda s, d: corpus.annotations_of(_spans(s, d), 7),
     "run_lookup": lambda s, d: corpus.run_by_id(_runs(s, d).withColumn("parameters", F.lit("{broken")), 11).select("id", "kind", F.array_join(F.transform("document_ids", lambda x: x.cast("string")), ",").alias("ids"), F.coalesce(F.json_array_length(F.to_json("parameters")), F.size(F.json_object_keys(F.to_json("parameters")))).cast("long").alias("n_parameters")),
@@ -151,7 +152,7 @@ QUERIES: dict[str, Query] = {
     "auto_feature_count": lambda s, d: features.auto_feature_count(docs(s, d)),
     "pca_points": lambda s, d: features.pca(features.feature_table(docs(s, d)))[0],
     "pca_loadings": lambda s, d: features.pca(features.feature_table(docs(s, d)))[1],
-    "cluster_merges": lambda s, d: features.clusters(features.feature_table(docs(s, d), "content", 120)),
+    "cluster_merges": lambda s, d: linkage.merges(_content_table(s, d), features.feature_counts(docs(s, d), "content")[0]),
     "tfidf_terms": lambda s, d: passages.tfidf(passages.passage_terms(docs(s, d))).select("id", F.col("passage_idx").cast("long").alias("passage_idx"), "term", "tf", "df", (F.floor(F.col("weight") * 1e4 + 0.5) / 1e4).alias("weight")),
     "similar_passages_top30": lambda s, d: passages.similar(docs(s, d)).select("id", F.col("passage_idx").cast("long").alias("passage_idx"), "id2", F.col("idx2").cast("long").alias("idx2"), "similarity", F.array_join("shared_terms", " ").alias("shared_terms")),
     "text_diff": lambda s, d: diff.diff(diff.nearest_copies(docs(s, d))),
@@ -164,6 +165,7 @@ QUERIES: dict[str, Query] = {
     "tei_export": lambda s, d: exports.tei(docs(s, d)).select("id", F.md5("xml").alias("md5")),
     "text_export": lambda s, d: exports.text_files(docs(s, d)).select("id", "file_name", F.md5("content").alias("md5")),
     "run_history": lambda s, d: corpus.run_history(_runs(s, d), docs(s, d)).select("run_id", "kind", "created_at", F.array_join("titles", ",").alias("titles")),
+    "project_audit": lambda s, d: corpus.project_audit(docs(s, d).withColumn("source_name", F.col("author")), SEARCH.upper()).select("documents", "name_in_documents"),
     "corpus_audit": lambda s, d: corpus.audit(docs(s, d)),
 }
 
@@ -223,7 +225,7 @@ _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;')
 SQL: dict[str, str] = {
     "doc_search": f"WITH {_DOCS} SELECT id, title FROM docs WHERE contains(lower(concat_ws(' ', title, author, genre, '')), '{SEARCH}')",
     "doc_request_order": f"WITH {_DOCS} SELECT w.pos, d.id, d.title FROM docs d JOIN (VALUES " + ", ".join(f"({i}, {x})" for i, x in enumerate(ORDER)) + ") AS w(pos, id) ON w.id = d.id",
-    "doc_serialized": f"WITH {_ARR}, {_DOCS} SELECT d.id, d.title, d.author, d.genre, len(a.t) AS token_count, false AS has_syntax, md5({_WS.format('d.text')}) AS text_md5 FROM docs d JOIN arr a ON a.id = d.id",
+    "doc_serialized": f"WITH {_ARR}, {_DOCS} SELECT d.id, d.title, coalesce(d.author, '') AS author, coalesce(d.genre, '') AS genre, '' AS date_label, '' AS period, '' AS place, '' AS witness, '' AS source_name, '' AS source_hash, '' AS source_type, '' AS notes, '' AS created_at, '' AS conllu_source, false AS is_demo, len(a.t) AS token_count, false AS has_syntax, md5({_WS.format('d.text')}) AS text_md5 FROM docs d JOIN arr a ON a.id = d.id",
     "text_normalized": f"SELECT doc_id AS id, md5({_WS.format('translate(' + _FOLD + ', ' + chr(39) + 'jJvV' + chr(39) + ', ' + chr(39) + 'iIuU' + chr(39) + ')')}) AS md5 FROM documents",
     "token_frequency_top18": f"WITH {_CNT} {_TOP.format('cnt', 18)}",
     "content_frequency_top18": f"WITH {_CNT}, c AS (SELECT * FROM cnt WHERE length(term) > 2 AND term NOT IN {_STOP}) {_TOP.format('c', 18)}",
@@ -323,6 +325,8 @@ SQL: dict[str, str] = {
         SELECT id, passage_idx, id2, idx2, similarity, string_agg(term, ' ' ORDER BY r) AS shared_terms FROM x WHERE r <= 10 GROUP BY ALL""",
     "run_history": f"""WITH {_DOCS}, top AS (SELECT event_id AS id, event_type AS kind, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM events ORDER BY created_at DESC, id DESC LIMIT 50)
         SELECT t.id AS run_id, t.kind, t.created_at, (SELECT string_agg(d.title, ',' ORDER BY k.pos) FROM (VALUES (0, 1), (1, 7), (2, 13)) AS k(pos, m) JOIN docs d ON d.id = (t.id * k.m) % 200) AS titles FROM top t""",
+    "doc_lookup": f"WITH {_DOCS} SELECT id, title, author, genre, md5(d.text) AS text_md5 FROM docs d WHERE id = 7 LIMIT 1",
+    "project_audit": f"WITH {_DOCS} SELECT count(*) AS documents, bool_or(regexp_matches(title, '(?i){SEARCH}') OR regexp_matches(coalesce(author, ''), '(?i){SEARCH}')) AS name_in_documents FROM docs",
     "corpus_audit": f"""WITH {_ARR}, {_DOCS} SELECT d.genre, count(*) AS documents, count(DISTINCT d.author) AS authors, count(*) FILTER (len(a.t) < 1000) AS short_documents,
         bool_or(regexp_matches(d.title || ' ' || d.author, '(?i)src1')) AS has_name FROM docs d JOIN arr a ON a.id = d.id GROUP BY d.genre""",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill import queries
 from lexmill.functions import text as T
-from lexmill.operators import concordance, conllu, corpus, diff, features, lexicon, terms, views
+from lexmill.operators import concordance, conllu, corpus, diff, features, linkage, lexicon, terms, views
 from lexmill.plans import pipeline, registry
 from lexmill.sources import exports, importers
 
@@ -230,7 +230,7 @@ def test_merges_are_those_of_average_linkage(spark):
         a, b = min(d, key=lambda k: (round(d[k], 9), k[1], k[0]))
         expected.append((sorted([sorted(groups[a]), sorted(groups[b])]), round(float(d[a, b]), 4)))
         groups[b] = groups[b] + groups.pop(a)
-    found = [(sorted([r.left, r.right]), r.distance) for r in features.clusters(table).orderBy("step").collect()]
+    found = [(sorted([sorted(r.left), sorted(r.right)]), r.distance) for r in linkage.merges(table).orderBy("step").collect()]
     assert [m for m, _ in found] == [m for m, _ in expected] and np.allclose([d for _, d in found], [d for _, d in expected], atol=1.01e-4)
 
 
