@@ -1,4 +1,4 @@
-"""Every query of the reference's operators against its SQL; those without SQL must give stable rows."""
+"""Every query of the reference's operators against its SQL; those without SQL must give stable rows and are held against plain code in other tests."""
 
 import subprocess
 import sys
