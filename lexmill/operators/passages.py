@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,9 @@ from .lexicon import STOP, passage_rows
 
 THRESHOLD = 0.08
 #: Thresholds that the search for the best pairs goes down by, before its own.
-STEPS = (0.9, 0.6, 0.3, 0.15)
+STEPS = (1.0, 0.9, 0.6, 0.3, 0.15)
+#: From this threshold on, nearly all pairs have the same terms.
+CLOSE = 0.999
 #: Entries of a term's list that meet in one group; longer lists are cut into blocks that meet pairwise.
 BLOCK = 2000
 PLACE = ["id", "passage_idx"]
@@ -47,13 +50,20 @@ class Index:
 
 def index(docs: DataFrame, profile: Profile = Profile(), stop_words: tuple[str, ...] = STOP) -> Index:
     """Passages of the same terms, as often each, are one class: copies are compared once, however many there are."""
-    w = tfidf(passage_terms(docs, profile, stop_words)).groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("df", "term", "tf", "weight"))).alias("w"))
+    each = passage_terms(docs, profile, stop_words)
+    bags = each.groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("w"))
     own = F.sha2(F.array_join(F.transform("w", lambda x: F.concat_ws(":", x["term"], x["tf"])), " "), 256)
-    w = w.withColumn("cls", own).persist()
+    bags = bags.withColumn("cls", own)
+    members = bags.select("cls", *PLACE).persist()
+    # Weights are worked out once a class; a passage's terms are not kept beside them.
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    first = bags.groupBy("cls").agg(F.first("w").alias("w")).select("cls", F.explode("w").alias("x")).select("cls", "x.*")
+    weight = F.col("tf") * (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1)
+    weighed = first.join(df, "term").join(F.broadcast(members.agg(F.count("*").alias("total")))).withColumn("weight", weight)
+    w = weighed.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "term", "tf", "weight"))).alias("w"))
     norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda total, x: total + x["weight"] * x["weight"]))
-    first = w.groupBy("cls").agg(F.first("w").alias("w")).withColumn("norm", norm)
     unit = F.transform("w", lambda x: F.struct(x["df"].alias("df"), x["term"].alias("term"), (x["weight"] / F.col("norm")).alias("u")))
-    return Index(first.select("cls", unit.alias("terms")).persist(), w.select("cls", *PLACE))
+    return Index(w.withColumn("norm", norm).select("cls", unit.alias("terms")).persist(), members)
 
 
 def prefix(terms: Column, threshold: float) -> Column:
@@ -84,11 +94,31 @@ def candidate_pairs(classes: DataFrame, threshold: float, block: int = BLOCK) ->
     return left.join(right, ["term", "i", "j"]).where("a < b").select("a", "b").distinct()
 
 
+def close_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: classes that can reach a threshold near 1.
+
+    Vectors of length 1 that do lie within sqrt(2 - 2 threshold) of each
+    other, so that a share above that is one of a term that both have.
+    Classes with such shares alone meet only where their terms are the same;
+    the others, very long passages, meet all by their prefixes.
+    """
+    reach = math.sqrt(2 - 2 * threshold) * (1 + 1e-6)
+    full = classes.withColumn("full", F.forall("terms", lambda x: x["u"] > reach))
+    same = F.sha2(F.array_join(F.transform("terms", lambda x: x["term"]), " "), 256)
+    keyed = full.where("full").select("cls", same.alias("same"))
+    equal = keyed.withColumnRenamed("cls", "a").join(keyed.withColumnRenamed("cls", "b"), "same").where("a < b").select("a", "b")
+    lists = full.select("cls", "full", F.explode(prefix(F.col("terms"), threshold)).alias("x")).select("cls", "full", "x.term", "x.u")
+    left, right = lists.where("not full").alias("l"), lists.alias("r")
+    met = left.join(right, (F.col("l.term") == F.col("r.term")) & (F.col("l.cls") != F.col("r.cls")) & (F.abs(F.col("l.u") - F.col("r.u")) <= reach))
+    return equal.unionByName(met.select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")).distinct())
+
+
 def similar_classes(classes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b, s) of the pairs of different classes whose cosine is at least the threshold."""
     # Terms by name for the dot product; a class's own terms are distinct.
     bag = F.map_from_entries(F.transform("terms", lambda x: F.struct(x["term"], x["u"])))
-    pairs = candidate_pairs(classes, threshold, block).join(classes.select(F.col("cls").alias("a"), F.col("terms").alias("ta")), "a")
+    found = close_pairs(classes, threshold) if threshold >= CLOSE else candidate_pairs(classes, threshold, block)
+    pairs = found.join(classes.select(F.col("cls").alias("a"), F.col("terms").alias("ta")), "a")
     pairs = pairs.join(classes.select(F.col("cls").alias("b"), bag.alias("tb")), "b")
     s = F.aggregate("ta", F.lit(0.0), lambda total, x: total + x["u"] * F.coalesce(F.col("tb")[x["term"]], F.lit(0.0)))
     return pairs.select("a", "b", s.alias("s")).where(F.col("s") >= threshold)
@@ -112,7 +142,8 @@ def best_pairs(found: Index, k: int, threshold: float) -> DataFrame:
     low = F.col("id") < F.col("id2")
     names = [F.when(low, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("id", "id2"), ("passage_idx", "idx2"), ("a", "b"))]
     other = [F.when(low, F.col(y)).otherwise(F.col(x)).alias(y) for x, y in (("id", "id2"), ("passage_idx", "idx2"), ("a", "b"))]
-    both = both.where("id <> id2").select(*names, *other, half_up(F.col("s"), 4).alias("similarity")).distinct()
+    # Copies meet in both orders, of which one is kept.
+    both = both.where("id < id2 or (a <> b and id > id2)").select(*names, *other, half_up(F.col("s"), 4).alias("similarity"))
     return both.orderBy(F.desc("similarity"), "id", "passage_idx", "id2", "idx2").limit(k)
 
 

@@ -81,3 +81,26 @@ def test_shared_terms_are_the_heaviest(spark):
 
 def test_no_passages(spark):
     assert passages.similar(spark.createDataFrame([(1, ""), (2, None)], "id long, text string")).collect() == []
+
+
+def test_close_classes_are_those_of_all_pairs_and_few_others_meet(spark):
+    import itertools
+    import math
+    import random
+
+    r = random.Random(6)
+    rows = []
+    for i in range(160):
+        # The same words, a few of them more often; some vectors with one heavy and many small shares.
+        words = {f"w{j}": 30.0 + (r.random() if r.random() < 0.3 else 0) for j in range(i % 4, i % 4 + 6)} | {"all": 20.0}
+        if i % 5 == 0:
+            words = {"w0": 400.0, **{f"s{j}": 1.0 + (i % 3 == 0) * 0.2 for j in range(i % 10, 12)}}
+        norm = math.sqrt(sum(x * x for x in words.values()))
+        rows.append((f"c{i:03}", [(1 if t != "all" else 9, t, x / norm) for t, x in sorted(words.items())]))
+    classes = spark.createDataFrame(rows, "cls string, terms array<struct<df:long,term:string,u:double>>")
+    bags = {c: {t: u for _, t, u in ts} for c, ts in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(bags), 2) if sum(u * bags[b].get(t, 0) for t, u in bags[a].items()) >= 1 - 5e-5}
+    found = [(x.a, x.b) for x in passages.similar_classes(classes, 1 - 5e-5).collect()]
+    assert want and set(found) == want and len(found) == len(want)
+    met, before = passages.close_pairs(classes, 1 - 5e-5).count(), passages.candidate_pairs(classes, 1 - 5e-5).count()
+    assert met < before
