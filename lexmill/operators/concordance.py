@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import Profile, apply_profile
+from .lexicon import dealt
+
+#: Texts whose lists of runs are made at once.
+TEXTS_AT_ONCE = 2000
 
 
 def _hits(text: Column, pattern: str, limit: int) -> Column:
@@ -68,20 +75,38 @@ def _case_pairs() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def grams(text: Column) -> tuple[Column, Column]:
-    """A text's characters, alike for texts that differ in case, and, over a column ``chars`` of these, its distinct runs of three."""
-    chars = F.split(F.lower(F.translate(text, *_case_pairs())), "", -1)
-    later = lambda k: F.slice("chars", F.lit(k), F.greatest(F.size("chars"), F.lit(1)))
-    beside = F.zip_with(F.zip_with("chars", later(2), lambda a, b: F.concat(a, b)), later(3), lambda a, b: F.concat(a, b))
-    return chars, F.array_distinct(F.filter(beside, lambda g: F.length(g) == 3))
+def folded(text: Column) -> Column:
+    """A text's characters, alike for texts that differ in case."""
+    return F.lower(F.translate(text, *_case_pairs()))
+
+
+def grams(text: str) -> np.ndarray:
+    """The distinct runs of three characters of a folded text, a long each."""
+    at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique(at[:-2] << 42 | at[1:-1] << 21 | at[2:])
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, ids): rows of each some thousand texts (id, t), a list of ids for each run that they have."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(low, TEXTS_AT_ONCE)
+            found = [grams(x or "") for x in part.column("t").to_pylist()]
+            ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in found])
+            runs = np.concatenate(found)
+            order = np.argsort(runs, kind="stable")
+            runs, ids = runs[order], ids[order]
+            cuts = np.flatnonzero(np.diff(runs, prepend=-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(runs)), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(runs[cuts]), lists], ["gram", "ids"])
 
 
 @dataclass
 class GramIndex:
     """Which documents have which runs of three characters, as two bucketed tables in a folder that all executors share.
 
-    postings (gram, id) by gram, texts (id, text) by id.  ``drop`` forgets
-    their names; the folder is the caller's.
+    postings (gram, ids) by gram, some thousand texts a row, texts (id, text)
+    by id.  ``drop`` forgets their names; the folder is the caller's.
     """
 
     spark: SparkSession
@@ -97,10 +122,9 @@ class GramIndex:
 
     def candidates(self, query: str) -> DataFrame:
         """(id) of the documents that have every run of three of the query, so all in which it can be found."""
-        chars, found = grams(F.lit(query))
-        wanted = self.spark.range(1).select(chars.alias("chars")).select(found.alias("g")).first().g
-        held = self.spark.table(self.postings).where(F.col("gram").isin(wanted))
-        return held.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("id")
+        wanted = grams(self.spark.range(1).select(folded(F.lit(query)).alias("t")).first().t).tolist()
+        held = self.spark.table(self.postings).where(F.col("gram").isin(wanted)).select("gram", F.explode("ids").alias("id"))
+        return held.groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted)).select("id")
 
     def kwic(self, query: str, width: int = 72, limit: int = 100) -> DataFrame:
         """As ``kwic`` over the texts, of which only candidates are read; a query of fewer than three characters reads all."""
@@ -108,12 +132,17 @@ class GramIndex:
         if len(query) >= 3:
             found = self.candidates(query).persist()
             few = [r.id for r in found.limit(self.FEW + 1).collect()]
-            texts = texts.where(F.col("id").isin(few)) if len(few) <= self.FEW else texts.join(found, "id")
+            texts = texts.where(F.col("id").isin(few) | F.col("id").isNull()) if len(few) <= self.FEW else texts.join(found, "id").unionByName(texts.where("id is null"))
         return kwic(texts, query, width, limit)
 
 
 def gram_index(docs: DataFrame, path: str, buckets: int = 16) -> GramIndex:
-    """Writes the index of (id, text) to ``path``."""
+    """Writes the index of (id, text) to ``path``; texts without an id are looked through by every query.
+
+    The runs of some thousand texts leave their task as one list each, so that
+    what is shuffled and sorted are a few rows for each run, not one for each
+    text that has it.
+    """
     spark, key = docs.sparkSession, uuid.uuid4().hex
     postings, texts = f"lexmill_grams_{key}", f"lexmill_texts_{key}"
 
@@ -121,8 +150,8 @@ def gram_index(docs: DataFrame, path: str, buckets: int = 16) -> GramIndex:
         rows.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", f"{path}/{name}").saveAsTable(name)
 
     write(docs.select("id", "text"), "id", texts)
-    chars, found = grams(F.coalesce("text", F.lit("")))
-    write(docs.select("id", chars.alias("chars")).select("id", F.explode(found).alias("gram")), "gram", postings)
+    known = docs.where("id is not null").select(F.col("id").cast("long").alias("id"), folded(F.coalesce("text", F.lit(""))).alias("t"))
+    write(dealt(known, text="t").mapInArrow(_postings, "gram long, ids array<long>"), "gram", postings)
     return GramIndex(spark, postings, texts)
 
 

@@ -77,3 +77,13 @@ def test_runs_are_written_and_read_with_nested_parameters(spark, docs):
     assert {r.run_id: r.titles for r in corpus.run_history(log, titled).collect()} == {1: ["t1", "t2"], 2: ["t3"]}
     odd = spark.createDataFrame([(1, "k", "[1", "[1, {}]", ""), (2, "k", None, "{x", ""), (3, "k", "[]", None, "")], corpus.RUN_SCHEMA)
     assert [corpus.run_by_id(odd, i).select(F.to_json("parameters")).first()[0] for i in (1, 2, 3)] == ["[1,{}]", "{}", "{}"]
+
+
+def test_lists_of_runs_are_few_rows_and_texts_without_an_id_are_found(spark):
+    rows = [(i, f"word{i} Section of it") for i in range(500)] + [(None, "a SECTION OF none"), (7, "another section of seven")]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    found = concordance.gram_index(docs, shared_folder(spark), 4)
+    assert spark.table(found.postings).where(F.col("gram").isin(concordance.grams("sec").tolist())).count() <= 8
+    assert sorted(map(repr, found.kwic("tion of", limit=1000).collect())) == sorted(map(repr, concordance.kwic(docs, "tion of", limit=1000).collect()))
+    assert found.candidates("tion of").count() == 500
+    found.drop()
