@@ -19,6 +19,8 @@ CLOSE = 0.999
 #: Entries of a term's list that meet in one group; longer lists are cut into blocks that meet pairwise.
 BLOCK = 2000
 PLACE = ["id", "passage_idx"]
+#: Most distinct terms whose df is broadcast, some 60 MB.
+WORDS_SENT = 1_000_000
 
 
 def passage_terms(docs: DataFrame, profile: Profile = Profile(), stop_words: tuple[str, ...] = STOP) -> DataFrame:
@@ -27,9 +29,20 @@ def passage_terms(docs: DataFrame, profile: Profile = Profile(), stop_words: tup
     return each.where(is_content(F.col("term"), stop_words)).groupBy("id", "passage_idx", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(terms: DataFrame) -> DataFrame:
-    """Adds df and weight tf (ln((N + 1) / (df + 1)) + 1), N being the passages with any term."""
+def tfidf(terms: DataFrame, path: str | None = None) -> DataFrame:
+    """Adds df and weight tf (ln((N + 1) / (df + 1)) + 1), N being the passages with any term.
+
+    With ``path``, a new folder that all executors share, terms are cut and
+    counted once and written there, and up to WORDS_SENT distinct ones go to
+    all tasks, so that terms aren't shuffled for their df.
+    """
+    if path:
+        terms.write.parquet(path)
+        terms = terms.sparkSession.read.parquet(path)
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    if path:
+        df = df.persist()
+        df = F.broadcast(df) if df.count() <= WORDS_SENT else df
     total = terms.select("id", "passage_idx").distinct().agg(F.count("*").alias("total"))
     weighed = terms.join(df, "term").join(F.broadcast(total))
     return weighed.withColumn("weight", F.col("tf") * (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1)).drop("total")

@@ -104,3 +104,15 @@ def test_close_classes_are_those_of_all_pairs_and_few_others_meet(spark):
     assert want and set(found) == want and len(found) == len(want)
     met, before = passages.close_pairs(classes, 1 - 5e-5).count(), passages.candidate_pairs(classes, 1 - 5e-5).count()
     assert met < before
+
+
+def test_terms_are_cut_once_and_not_shuffled_for_their_df(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"Harvest number {i} brings grain and wine again. Winter days follow harvest days slowly here.") for i in range(40)], "id long, text string")
+    want = sorted(map(tuple, passages.tfidf(passages.passage_terms(docs)).collect()))
+    found = passages.tfidf(passages.passage_terms(docs), f"{tmp_path}/few")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [term" in plan and "SortMergeJoin" not in plan and "regexp_extract_all" not in plan
+    columns = passages.tfidf(passages.passage_terms(docs)).columns
+    assert want and sorted(map(tuple, found.select(*columns).collect())) == want
+    monkeypatch.setattr(passages, "WORDS_SENT", 3)
+    assert sorted(map(tuple, passages.tfidf(passages.passage_terms(docs), f"{tmp_path}/many").select(*columns).collect())) == want
