@@ -23,7 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (shingles of 5 words, similarity 0.8 or more), that with the least doc_id."""
+    """Keeps one document of each group of near copies, that with the least doc_id: op8's SimHash, and MinHash for what its bits miss, find them, a similarity of 0.8 or more of shingles of 5 words decides."""
     return nearcopies.drop_near_copies(docs)
 
 

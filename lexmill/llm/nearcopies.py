@@ -1,8 +1,10 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands find candidates, whole shingle sets decide.
+"""Near copies: SimHash fingerprints (op8) and MinHash bands find candidates, the Jaccard similarity of whole shingle sets decides.
 
-A document is its set of shingles.  Documents that share a band of MinHashes
-are linked to the band's least document, and the components of these links
-hold, but for a chance stated at BANDS, every pair that is similar.  The texts
+Documents whose fingerprints op8 puts into one component are linked to its
+least one.  Its 4 bits leave most pairs of a similarity of 0.8 apart, so
+documents that share a band of MinHashes are linked to the band's least
+document too, and the components of all these links hold, but for a chance
+stated at BANDS, every pair that is similar.  A document is its set of shingles.  The texts
 of one component then meet, once each, or block by block, and their shingle
 sets are compared: no estimate decides.  Documents with equal sets are one from
 the start.
@@ -19,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import components
 from .shared import counted_join, materialise
 from .textscan import utf8
@@ -69,17 +72,19 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, mark, key, bands): each row's set of shingles as one long, and its bands; mark is a hash of its text."""
+    """(doc_id, mark, key, bands, fp): each row's set of shingles as one long, its bands, and op8's fingerprint; mark is a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             at = offsets.tolist()
-            sets = [shingles(data[a:b].tobytes(), shingle_words) for a, b in zip(at, at[1:], strict=False)]
+            texts = [data[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+            sets = [shingles(x, shingle_words) for x in texts]
             rows = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(set_key, sets), pa.int64()), rows], ["doc_id", "mark", "key", "bands"])
+            fps = pa.array(np.array([simhash.fingerprint(x) for x in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(set_key, sets), pa.int64()), rows, fps], ["doc_id", "mark", "key", "bands", "fp"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, mark long, key long, bands array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, mark long, key long, bands array<long>, fp long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -230,12 +235,22 @@ def _block_links(rows: DataFrame, least: float, shingle_words: int, block_bytes:
     return found.unionByName(links.select(F.col("key").alias("u"), F.col("hub").alias("v")))
 
 
+def _fingerprint_bands(keys: DataFrame) -> DataFrame:
+    """(key, band): the root of the component that op8 puts each of a key's fingerprints into, for rows (key, fp)."""
+    keys = materialise(keys, "fingerprints")
+    nodes = materialise(keys.groupBy("fp").agg(F.count("*").alias("n")), "fingerprint-nodes")
+    rooted = materialise(nodes.join(simhash.near_fingerprints(nodes), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    return counted_join(keys, rooted, ["fp"], "n", ["key"]).select("key", F.col("root").alias("band")).distinct()
+
+
 def _components(docs: DataFrame, least: float, shingle_words: int) -> DataFrame:
     """(doc_id, mark, first_id, first_mark), a row per row of ``docs``: the least row that its links reach, by doc_id and then by mark."""
     signed = materialise(signatures(docs, shingle_words).withColumn("id", _order(F.col("doc_id"))), "signatures")
     nodes = signed.groupBy("key").agg(F.min(F.struct("id", "mark")).alias("rep"), F.count("*").alias("n"))
     nodes = materialise(nodes.select("key", "rep.id", "rep.mark", "n"), "nodes")
-    placed = materialise(signed.dropDuplicates(["key"]).select("key", F.explode("bands").alias("band")), "bands")
+    placed = signed.dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
+    # A component of fingerprints is one more band; equal sets may have several fingerprints.
+    placed = materialise(placed.unionByName(_fingerprint_bands(signed.select("key", "fp").distinct())), "bands")
     first = placed.groupBy("band").agg(F.min("key").alias("v"), F.count("*").alias("n")).where("n > 1")
     first = materialise(first, "first")
     links = counted_join(placed, first, ["band"], "n", ["key"]).where("v <> key").select(F.col("key").alias("u"), "v")

@@ -162,6 +162,13 @@ def ball_links(nodes: DataFrame, max_bits: int = RADIUS, key_bits: int = 12) ->
     return placed.mapInArrow(join, "u long, v long")
 
 
+def near_fingerprints(nodes: DataFrame, max_bits: int = RADIUS) -> DataFrame:
+    """(fp, root) for each of the distinct fingerprints ``fp`` that links join to a lesser one, the root of its component."""
+    # A key should hold some thousand fingerprints, whatever their number.
+    key_bits = min(24, max(12, (nodes.count() >> 12).bit_length()))
+    return components(ball_links(nodes, max_bits, key_bits)).withColumnRenamed("u", "fp")
+
+
 def simhash_components(docs: DataFrame, max_bits: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row per row of ``docs``.
 
@@ -174,9 +181,7 @@ def simhash_components(docs: DataFrame, max_bits: int = RADIUS, shingle_words: i
     """
     fps = materialise(fingerprints(docs, shingle_words), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
-    # A key should hold some thousand fingerprints, whatever their number.
-    key_bits = min(24, max(12, (nodes.count() >> 12).bit_length()))
-    roots = components(ball_links(nodes, max_bits, key_bits)).withColumnRenamed("u", "fp")
+    roots = near_fingerprints(nodes, max_bits)
     rooted = materialise(nodes.join(roots, "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     names = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")), "names")
     named = materialise(counted_join(rooted.drop("rep"), names, ["root"], "size", ["fp"]), "named")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from conftest import SF_DIR
 
-from lexmill.llm import nearcopies
+from lexmill.llm import nearcopies, simhash
 from lexmill.llm.shared import table
 
 
@@ -100,3 +100,20 @@ def test_rows_are_told_apart_by_content(spark):
     assert kept.columns == frame.columns
     found = sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect())))
     assert found == sorted(map(repr, [(1, text), (1, other), (None, "x y z"), (3, None)]))
+
+
+def test_simhash_finds_copies_that_share_no_band(spark):
+    # A passage of 65 words again and again, and eight words of each text's own: a similarity of 65 / 81, and the same fingerprint.
+    rng = random.Random(3)
+    for _ in range(20_000):
+        passage = " ".join(f"w{rng.randrange(10**9)}" for _ in range(65))
+        own = [" ".join(f"own{rng.randrange(10**9)}" for _ in range(8)) for _ in range(2)]
+        a, b = (nearcopies.shingles(" ".join([passage, passage, x]).encode()) for x in own)
+        if nearcopies.similar(a, b) and not set(nearcopies.bands(a)) & set(nearcopies.bands(b)):
+            break
+    texts = [" ".join([passage] * 20 + [x]) for x in own]
+    one, other = (simhash.fingerprint(t.encode()) for t in texts)
+    assert (one ^ other).bit_count() <= simhash.RADIUS
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert brute_kept(dict(enumerate(texts))) == {0}
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, SF_DIR).collect()] == [0]
