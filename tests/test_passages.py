@@ -116,3 +116,23 @@ def test_terms_are_cut_once_and_not_shuffled_for_their_df(spark, tmp_path, monke
     assert want and sorted(map(tuple, found.select(*columns).collect())) == want
     monkeypatch.setattr(passages, "WORDS_SENT", 3)
     assert sorted(map(tuple, passages.tfidf(passages.passage_terms(docs), f"{tmp_path}/many").select(*columns).collect())) == want
+
+
+def test_terms_are_shuffled_once_as_lines(spark, tmp_path):
+    docs = made(spark)
+    plain = passages.index(docs)
+    found = passages.index(docs, path=str(tmp_path / "index"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(found.classes) == rows(plain.classes) and rows(found.members) == rows(plain.members)
+    stored = spark.read.parquet(*map(str, (tmp_path / "index").glob("classes-*")))
+    assert "u" not in stored.schema["w"].dataType.elementType.names  # weights are not kept
+    plan = found.classes._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "InMemoryTableScan" not in plan
+    assert [tuple(r) for r in passages.similar(docs, 40, 0.3, path=str(tmp_path / "all")).collect()] == [tuple(r) for r in passages.similar(docs, 40, 0.3).collect()]
+
+
+def test_few_pairs_of_classes_are_laid_out(spark):
+    pairs = spark.createDataFrame([("a", "b", 1.0 - (i % 3) / 10, i // 2) for i in range(60)], "a string, b string, similarity double, begin long")
+    found = [(r.similarity, r.begin) for r in passages._foremost(pairs, 7).collect()]
+    assert sorted(found) == sorted((1.0, i // 2) for i in range(0, 60, 3) if i // 2 <= 9)
+    assert passages._foremost(pairs, 100).count() == 60
