@@ -46,3 +46,8 @@ def test_heads_of_repeated_and_missing_numbers_are_those_of_a_join(spark):
     parsed = spark.createDataFrame(rows, "id long, sent int, token_id int, form string, head int")
     found = sorted(map(repr, (tuple(r) for r in conllu.heads(parsed).select("id", "sent", "token_id", "form", "head_form").collect())))
     assert found == sorted(map(repr, [(1, 0, 1, "a", None), (1, 0, 2, "b", "a"), (1, 0, 2, "c", "a"), (1, 0, 3, "d", "b"), (1, 0, 3, "d", "c"), (1, 1, 1, "e", None), (None, 0, 1, "f", None), (2, 0, None, "g", None)]))
+
+
+def test_collocations_are_hashed_not_sorted(spark):
+    plan = queries.QUERIES["collocations_top15"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
