@@ -51,3 +51,8 @@ def test_heads_of_repeated_and_missing_numbers_are_those_of_a_join(spark):
 def test_collocations_are_hashed_not_sorted(spark):
     plan = queries.QUERIES["collocations_top15"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_heads_carry_no_other_columns(spark):
+    plan = queries.QUERIES["head_lookup"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and not re.search("upos|xpos|misc|features", plan)
