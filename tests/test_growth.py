@@ -1,11 +1,14 @@
 """What a task holds and what is shuffled must not grow faster than the corpus."""
 
 import re
+from collections import Counter
 
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 
 from lexmill import queries
+from lexmill.functions.text import apply_profile
 from lexmill.operators import conllu, features, lexicon
 
 
@@ -56,3 +59,28 @@ def test_collocations_are_hashed_not_sorted(spark):
 def test_heads_carry_no_other_columns(spark):
     plan = queries.QUERIES["head_lookup"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and not re.search("upos|xpos|misc|features", plan)
+
+
+def test_grams_are_never_rows_and_are_those_of_plain_code(spark):
+    texts = [(1, "Ab  abab\nA😀b a"), (1, "ab"), (2, ""), (3, None), (None, "zzz zzz abab"), (4, "İab ab")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    table = features.feature_table(docs, "char3", 4)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "posexplode" not in plan
+    grams = {}
+    for i, r in enumerate(docs.select("id", apply_profile(F.col("text"), one_line=True).alias("t")).collect()):
+        grams[i] = (r.id, [r.t[k : k + 3] for k in range(len(r.t) - 2)])
+    total, first = Counter(), {}
+    for id_, own in grams.values():
+        for at, g in enumerate(own):
+            total[g] += 1
+            first[g] = min(first.get(g, (9, 0, 0)), (id_ is not None, id_ or 0, at))
+    top = sorted(total, key=lambda g: (-total[g], first[g]))[:4]
+    counts, sizes = Counter(), Counter({id_: 0 for id_, _ in grams.values()})
+    for id_, own in grams.values():
+        if id_ is not None:
+            counts.update((id_, g) for g in own)
+            sizes[id_] += len(own)
+    want = {(id_, g, k, counts[id_, g], counts[id_, g] * 10000.0 / max(1, sizes[id_])) for id_ in sizes for k, g in enumerate(top)}
+    rows = table.collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
